@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontam, langid, linededup, simhash
+from tarn.llm import bpe, decontam, langid, linededup, simhash
 from tarn.llm.common import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(scan(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.remove_boilerplate(scan(spark, sf_dir, "documents"))
     text = F.col("_kept_text")
@@ -32,7 +36,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_line_dedup, op7_decontamination, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op4_line_dedup, op7_decontamination, op9_simhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
