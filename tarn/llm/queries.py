@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, decontam, langid, linededup, simhash
+from tarn.llm import bpe, decontam, hostbayes, langid, linededup, rules, simhash, tokencount
 from tarn.llm.common import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,16 +17,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(scan(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(scan(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.remove_boilerplate(scan(spark, sf_dir, "documents"))
     text = F.col("_kept_text")
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a source is a host; its documents of one language are a path of it, as in page addresses
+    path = F.concat_ws("/", F.lit(""), "lang")
+    return hostbayes.site_quality(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"), F.col("source"), path)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(scan(spark, sf_dir, "documents"))
 
@@ -36,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op4_line_dedup, op7_decontamination, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_line_dedup, op6_quality_rules, op7_decontamination, op8_quality_classifier, op9_simhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
