@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, most: int = 4 << 20) ->
     """Slices whose texts have about ``most`` bytes together, at least one row each."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
             before = size[at - 1] if at else 0
@@ -100,8 +101,6 @@ def map_text(df: DataFrame, keep: dict[str, Column], text: str, fields: str, fn:
     names = list(keep) + [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for part in pieces(batches, "_text", most):
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *fn(part)], names=names)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, decontam, hostbayes, langid, linededup, rules, simhash, tokencount
+from tarn.llm import bpe, chaining, decontam, hostbayes, langid, licenses, linededup, rules, simhash, tokencount
 from tarn.llm.common import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +21,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(scan(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(scan(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.remove_boilerplate(scan(spark, sf_dir, "documents"))
     text = F.col("_kept_text")
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.shared_passages(scan(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
 
@@ -50,7 +58,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_line_dedup, op6_quality_rules, op7_decontamination, op8_quality_classifier, op9_simhash, op10_language_id)}
+    own = (op1_bpe, op2_token_counts, op3_license_scan, op4_line_dedup, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_quality_classifier, op9_simhash, op10_language_id)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
