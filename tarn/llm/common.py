@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.session import ship_package
+
 #: Rows and bytes of one Arrow batch sent to Python; a batch always holds at least one row.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -24,7 +26,8 @@ def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, unless the session has lower bounds already."""
+    """Bound Arrow batches by rows and bytes, unless the session has lower bounds already; give executors the package."""
+    ship_package(spark)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = str(spark.conf.get(key)).rstrip("bB")
