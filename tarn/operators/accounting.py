@@ -11,7 +11,7 @@ from tarn.operators.catalog import orphans
 
 # Bytes that an index row, a cached result and an event are taken for.
 KEYWORD_ROW, RESULT_ROW, EVENT_ROW = 256, 512, 256
-GROUPS = {"persistent_catalog": "settings_and_catalog", "keyword_index": "search_data", "vector_index": "search_data", "snippet_cache": "temporary", "search_cache": "temporary", "temporary_extraction": "temporary", "model_files": "search_data", "logs": "settings_and_catalog"}
+GROUPS = {"keyword_index": "search_index", "vector_index": "search_index", "model_files": "models", "snippet_cache": "caches", "search_cache": "caches", "temporary_extraction": "caches"}
 
 
 def by_status(rows: DataFrame, *keys: str, status: str = "file_status") -> DataFrame:
@@ -30,8 +30,9 @@ def storage(parts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
 
 
 def rolled_up(usage: DataFrame) -> DataFrame:
+    """The three groups that are shown; the catalog and logs are in none."""
     group = F.element_at(F.create_map(*[F.lit(x) for kv in GROUPS.items() for x in kv]), F.col("category"))
-    return usage.groupBy(group.alias("display_group")).agg(F.sum("bytes").alias("bytes"), F.sum("items").alias("items"))
+    return usage.withColumn("display_group", group).where("display_group is not null").groupBy("display_group").agg(F.sum("bytes").alias("bytes"), F.sum("items").alias("items"))
 
 
 def integrity(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:

@@ -9,8 +9,8 @@ from tarn.sources.schema import JOB_KINDS
 
 MAX_ATTEMPTS = 3
 # Capacity and default priority of each queue.
-CAPACITY = {"scan": 1_000, "extract": 10_000, "chunk": 1_000, "keyword": 1_000, "embedding": 2_000, "maintenance": 200}
-PRIORITY = {"scan": 3, "extract": 2, "chunk": 2, "keyword": 2, "embedding": 1, "maintenance": 0}
+CAPACITY = {"scan": 10_000, "extract": 1_000, "chunk": 1_000, "keyword": 1_000, "embedding": 2_000, "maintenance": 200}
+PRIORITY = {"scan": 2, "extract": 2, "chunk": 2, "keyword": 2, "embedding": 1, "maintenance": 0}
 
 
 def lookup(values: dict[str, int], key: Column) -> Column:

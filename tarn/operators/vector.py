@@ -27,11 +27,11 @@ def top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(key).asc())))
 
 
-def top_k_batch(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_id: str, query: str, k: int, block: int = BLOCK) -> DataFrame:
+def top_k_batch(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_id: str, query: str, k: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
     """(query_id, key, score, rank): every query against all vectors, by matrix products.
 
     Queries are dealt to blocks of a bounded size; a block's vectors go to every task, which returns
-    its k best for each query, so k rows for each query and task are shuffled and not all scores.
+    its k best for each query, so k rows for each query and task are shuffled and not all scores. ``digits`` rounds scores before they are compared.
     """
     ship_package(vectors.sparkSession)
     own = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("query"))
@@ -41,13 +41,13 @@ def top_k_batch(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
     parts = None
     for b in range(blocks):
         rows = dealt.where(F.col("block") == b).orderBy("query_id").toArrow()
-        part = _block(vectors, key, vector, rows, k)
+        part = _block(vectors, key, vector, rows, k, digits)
         parts = part if parts is None else parts.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key).asc())
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, k: int) -> DataFrame:
+def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, k: int, digits: int | None) -> DataFrame:
     ids, lists = rows["query_id"].to_pylist(), rows["query"].to_pylist()
     sizes = sorted({len(v) for v in lists if v is not None})
     mats = {d: (np.array([i for i, v in zip(ids, lists) if v is not None and len(v) == d]), np.array([v for v in lists if v is not None and len(v) == d], dtype=np.float64)) for d in sizes}
@@ -65,7 +65,7 @@ def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, k: int) ->
                 if not len(at):
                     continue
                 x = np.asarray(col.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, d)
-                s, who = q @ x.T, np.broadcast_to(keys[at], (len(q), len(at)))
+                s, who = q @ x.T if digits is None else np.round(q @ x.T, digits), np.broadcast_to(keys[at], (len(q), len(at)))
                 if d in best:
                     s, who = np.concatenate([best[d][0], s], axis=1), np.concatenate([best[d][1], who], axis=1)
                 order = np.lexsort((who, -s), axis=1)[:, :k]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 FILE_STATUS = ("discovered", "indexed", "stale", "missing", "deleted", "permission_denied", "unsupported", "failed")
 CHUNK_KINDS = ("document", "section", "paragraph", "fallback", "page", "code_block", "table")
 JOB_KINDS = ("scan", "extract", "chunk", "keyword", "embedding", "maintenance")
-JOB_STATUS = ("queued", "running", "succeeded", "failed", "paused", "canceled", "skipped", "retry_wait")
+JOB_STATUS = ("queued", "running", "succeeded", "failed", "canceled", "blocked", "paused", "waiting_for_dependency")
+JOB_TYPES = ("scan", "extract", "chunk", "keyword_index", "embedding", "delete_stale", "rebuild")
 VECTOR_FORMATS = ("fp32", "fp16", "int8", "binary")
 VERSIONS = {"normalization": "norm-v1", "chunker": "chunker-v1", "keyword_text": "kw-text-v1", "embedding_text": "embed-text-v1"}
 
