@@ -46,9 +46,11 @@ def tokens(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """All runs of three characters of the lower-cased text; shorter texts have none."""
-    low = F.lower(text)
-    at = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substr(low, i, F.lit(3)))
+    # three shifted copies are zipped: what a lambda refers to from outside would be computed again for each place
+    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), 0)
+    n = F.greatest(F.size(chars) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b))
+    return F.zip_with(pairs, F.slice(chars, 3, n), lambda a, b: F.concat(a, b))
 
 
 def contains_cjk(text: Column) -> Column:

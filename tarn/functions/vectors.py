@@ -16,13 +16,14 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit length, or as it is if it has almost none."""
     norm = F.sqrt(dot(v, v))
-    return F.when(norm > 1e-10, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    # the norm goes in as an array, so that it is computed once and not for each component
+    return F.zip_with(v, F.array_repeat(F.when(norm > 1e-10, norm).otherwise(F.lit(1.0)), F.size(v)), lambda x, n: x.cast("double") / n)
 
 
 def mock_embedding(text: Column, dimension: int = 8) -> Column:
     """The first bytes of the text's SHA-256 over 255, normalized."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substr(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    pairs = F.slice(F.regexp_extract_all(F.sha2(text, 256), F.lit(".."), 0), 1, dimension)
+    raw = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("double") / 255)
     return l2_normalize(raw)
 
 
