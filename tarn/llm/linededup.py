@@ -52,7 +52,9 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     drop = copies.groupBy("doc", "th").agg(F.collect_set("pos").alias("_drop")).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_drop")
     body = F.col(text).cast("string")
     joined = docs.join(drop, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_th")), "left")
-    parts = F.split(body, "\n")
+    # a column of its own: inside a lambda the split would run again for each line
+    joined = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), F.split(body, "\n")))
+    parts = F.col("_parts")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
     kept = F.when(F.col("_drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     n_lines = F.when(body.isNull(), 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)
