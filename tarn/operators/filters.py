@@ -37,8 +37,8 @@ def changed(modified: Column, within: str, now: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """ja if over half of the letters are CJK, mixed if some are, else en."""
-    wide = F.length(F.regexp_replace(text, r"[^\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{1100}-\x{11FF}]", ""))
+    """ja if over half of the letters are CJK, mixed if some characters are (full-width Latin too), else en."""
+    wide = F.length(F.regexp_replace(text, r"[^\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{1100}-\x{11FF}]", ""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     return F.when(~contains_cjk(text), "en").when(2 * wide > letters, "ja").otherwise("mixed")
 
@@ -145,37 +145,38 @@ def recovery_actions(status: Column, warnings: Column) -> Column:
     )
 
 
-# States of files and sources as users see them.
-FILE_STATES = {"discovered": "waiting", "indexed": "ready", "stale": "needs_update", "missing": "not_found", "deleted": "removed", "permission_denied": "no_permission", "unsupported": "not_supported", "failed": "problem"}
+# States of files as users see them, and the source states that are searched or may be refreshed.
+FILE_STATES = {"discovered": "waiting", "indexed": "ready", "stale": "needs_update", "missing": "file_not_found", "deleted": "file_not_found", "permission_denied": "could_not_prepare", "unsupported": "ignored", "failed": "partly_prepared"}
+SEARCHABLE = ("active", "needs_update", "preparing")
+REFRESHABLE = ("active", "needs_update", "missing", "permission_denied")
 
 
 def file_state(status: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in FILE_STATES.items() for x in kv]), status)
 
 
-def is_searchable(status: Column) -> Column:
-    """Files whose chunks may answer a search, fresh or not."""
-    return status.isin("indexed", "stale")
+def is_searchable(source_state: Column) -> Column:
+    return source_state.isin(*SEARCHABLE)
 
 
-def can_refresh(status: Column) -> Column:
-    return status.isin("indexed", "stale", "failed", "missing")
+def can_refresh(source_state: Column) -> Column:
+    return source_state.isin(*REFRESHABLE)
 
 
 @dataclass(frozen=True)
 class Privacy:
-    """What may be stored. Mode: normal, private or strict; strict overrides every switch."""
+    """What may be stored. Mode: standard, strict, portable or diagnostics; strict overrides every switch."""
 
-    mode: str = "normal"
+    mode: str = "standard"
     recent_searches: bool = True
     snippets: bool = True
     diagnostics_paths: bool = False
 
     def keeps_recent_searches(self) -> bool:
-        return self.mode == "normal" and self.recent_searches
+        return self.mode != "strict" and self.recent_searches
 
     def keeps_snippets(self) -> bool:
         return self.mode != "strict" and self.snippets
 
     def shows_paths(self) -> bool:
-        return self.mode == "normal" and self.diagnostics_paths
+        return self.mode != "strict" and self.diagnostics_paths

@@ -597,8 +597,8 @@ def a14_find_source(spark, sf_dir):
     return cards(spark, sf_dir).where("source_id = 'src5'")
 
 
-@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS at, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_type, max(CASE WHEN at = least(floor(50 * n / 100), n - 1) THEN value END) AS p50, max(CASE WHEN at = least(floor(90 * n / 100), n - 1) THEN value END) AS p90, max(CASE WHEN at = least(floor(99 * n / 100), n - 1) THEN value END) AS p99, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM r GROUP BY event_type""")
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, max(CASE WHEN place = least(floor(50 * n / 100), n - 1) THEN value END) AS p50, max(CASE WHEN place = least(floor(90 * n / 100), n - 1) THEN value END) AS p90, max(CASE WHEN place = least(floor(99 * n / 100), n - 1) THEN value END) AS p99, min(value) AS min_value, max(value) AS max_value, count(*) AS n FROM r GROUP BY event_type""")
 def a10_latency_percentiles(spark, sf_dir):
     return metrics.percentiles(table(spark, sf_dir, "events"), "value", ["event_type"])
 
@@ -697,7 +697,7 @@ def j6_pop_order(spark, sf_dir):
     return jobs.pop_order(job_table(spark, sf_dir).where("status = 'queued'"), user_active=True).select("job_id", "job_kind", "turn")
 
 
-@query(f"WITH {JOBS}, l AS (SELECT job_id AS event_id, job_kind, CASE WHEN job_id % 3 = 0 THEN -1 ELSE 1 END AS delta, created_at AS at FROM jobs), d AS (SELECT *, sum(delta) OVER (PARTITION BY job_kind ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) AS depth FROM l) SELECT job_kind, count(*) AS n, CAST(max(depth) AS BIGINT) AS deepest, count(*) FILTER (WHERE delta > 0 AND depth > CASE job_kind WHEN 'scan' THEN 10000 WHEN 'embedding' THEN 2000 WHEN 'maintenance' THEN 200 ELSE 1000 END) AS refused FROM d GROUP BY job_kind")
+@query(f"WITH {JOBS}, l AS (SELECT job_id AS event_id, job_kind, CASE WHEN job_id % 3 = 0 THEN -1 ELSE 1 END AS delta, created_at AS t FROM jobs), d AS (SELECT *, sum(delta) OVER (PARTITION BY job_kind ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS depth FROM l) SELECT job_kind, count(*) AS n, CAST(max(depth) AS BIGINT) AS deepest, count(*) FILTER (WHERE delta > 0 AND depth > CASE job_kind WHEN 'scan' THEN 10000 WHEN 'embedding' THEN 2000 WHEN 'maintenance' THEN 200 ELSE 1000 END) AS refused FROM d GROUP BY job_kind")
 def j7_backpressure(spark, sf_dir):
     log = job_table(spark, sf_dir).select(F.col("job_id").alias("event_id"), "job_kind", F.when(F.col("job_id") % 3 == 0, -1).otherwise(1).alias("delta"), F.col("created_at").alias("at"))
     return jobs.admitted(log).groupBy("job_kind").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.count_if("over_capacity").alias("refused"))
@@ -748,16 +748,16 @@ def f2_changed(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *[filters.changed(F.col("ts"), w, now).alias(w) for w in ("today", "this_week", "this_month")])
 
 
-@query(f"WITH {FILES} SELECT doc_id FROM files WHERE path LIKE '/corpus/src3/%' AND {TRUST} = 'ready' AND doc_id % 6 IN (0, 1)")
+@query(f"WITH {FILES} SELECT doc_id FROM files WHERE path LIKE '/corpus/src5/%' AND {TRUST} = 'ready' AND doc_id % 6 IN (0, 1)")
 def f3_f7_active_filters(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("trust_state", filters.trust_state(F.col("file_status"), F.array().cast("array<string>")))
     own = filters.ActiveFilters().add(filters.Filter("kind", "notes")).add(filters.Filter("status", "ready"))
-    return own.apply(f.where(filters.Scope("/corpus/src3").predicate(F.col("path")))).select("doc_id")
+    return own.apply(f.where(filters.Scope("/corpus/src5").predicate(F.col("path")))).select("doc_id")
 
 
 @query(f"SELECT CAST(id AS BIGINT) AS id, list_extract(['ja', 'en', 'mixed', 'en', 'en', 'en', 'en'], CAST(id + 1 AS INTEGER)) AS language FROM {VALUES}")
 def f5_language(spark, sf_dir):
-    return literals(spark).select("id", F.when(F.col("id") == 4, "en").otherwise(filters.language(F.col("s"))).alias("language"))
+    return literals(spark).select("id", filters.language(F.col("s")).alias("language"))
 
 
 @query(f"WITH {FILES} SELECT doc_id, path LIKE '/corpus/src3/%' AS under, path LIKE '/corpus/src3/en/%' AS direct FROM files")
