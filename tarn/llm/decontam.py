@@ -196,5 +196,5 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
     """``docs`` less the documents that hold an item; rows of a null id go if any of them does."""
-    bad = contaminated(docs, items, doc_id, text, **named).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contaminated(docs, items, doc_id, text, **named).select(F.col("doc_id").alias("__tarn_bad")).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__tarn_bad")), "left_anti")

@@ -140,10 +140,9 @@ def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[l
     top = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANG)
     langs = [r[0] for r in top.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
     chosen = F.broadcast(top.where(F.col("lang").isin(langs)).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")))
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.substring(F.col(text).cast("string"), 1, CHARS_PER_DOC).alias("_text"))
     rows = (
-        docs.join(chosen, F.col(doc_id) == F.col("_id"))
-        .where(F.col(lang).cast("string") == F.col("_lang"))
-        .select("_id", "_lang", F.substring(F.col(text).cast("string"), 1, CHARS_PER_DOC).alias("_text"))
+        own.join(chosen, ["_id", "_lang"])
         .distinct()
         .orderBy("_lang", "_id", F.xxhash64("_text"))
         .limit(2 * DOCS_PER_LANG * max(1, len(langs)))

@@ -49,18 +49,18 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = materialize(lines(docs, doc_id, text, site), "lines")
     bad = boilerplate(rows, min_sites, lg_k)
     copies = rows.join(bad, ["h1", "h2"]).where(~F.struct("doc", "th", "pos").eqNullSafe(F.col("first")))
-    drop = copies.groupBy("doc", "th").agg(F.collect_set("pos").alias("_drop")).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_drop")
+    drop = copies.groupBy("doc", "th").agg(F.collect_set("pos").alias("__tarn_drop")).select(F.col("doc").alias("__tarn_doc"), F.col("th").alias("__tarn_th"), "__tarn_drop")
     body = F.col(text).cast("string")
-    joined = docs.join(drop, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_th")), "left")
+    joined = docs.join(drop, F.col(doc_id).eqNullSafe(F.col("__tarn_doc")) & (F.xxhash64(body) == F.col("__tarn_th")), "left")
     # a column of its own: inside a lambda the split would run again for each line
-    joined = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), F.split(body, "\n")))
-    parts = F.col("_parts")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    joined = joined.withColumn("__tarn_parts", F.when(F.col("__tarn_drop").isNotNull(), F.split(body, "\n")))
+    parts = F.col("__tarn_parts")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__tarn_drop"))
+    kept = F.when(F.col("__tarn_drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     n_lines = F.when(body.isNull(), 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)
     return joined.select(
         *[docs[f"`{c}`"] for c in docs.columns],
         kept.alias("_kept_text"),
         n_lines.cast("bigint").alias("_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint").alias("_removed"),
+        F.coalesce(F.size("__tarn_drop"), F.lit(0)).cast("bigint").alias("_removed"),
     )

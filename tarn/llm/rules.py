@@ -161,9 +161,9 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
     for y in (0, 1):
         part = known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
         top = part if top is None else top.union(part)
+    own = docs.select(F.col(doc_id).alias("_id"), F.substring(F.col(text).cast("string"), 1, chars).alias("_text"))
     rows = (
-        docs.join(F.broadcast(top), F.col(doc_id) == F.col("_id"))
-        .select("_id", "_label", F.substring(F.col(text).cast("string"), 1, chars).alias("_text"))
+        own.join(F.broadcast(top), "_id")
         .where("_text is not null")
         .distinct()
         .orderBy("_label", "_id", F.xxhash64("_text"))

@@ -250,5 +250,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row for each component: that of the smallest id."""
     found = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([doc_id])
+    keep = found.select(F.col("doc_id").alias("__tarn_keep")).distinct()
+    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__tarn_keep")), "left_semi").dropDuplicates([doc_id])
