@@ -35,8 +35,8 @@ def normalize(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without diacritics; plain ASCII is not looked up character by character."""
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(F.lower(text), ACCENTED, PLAIN)).otherwise(F.lower(text))
 
 
 def tokens(text: Column) -> Column:
