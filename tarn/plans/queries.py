@@ -218,7 +218,10 @@ def v5_topk_batch(spark, sf_dir):
     return rounded(vector.top_k_batch(e, "vec_id", "embedding", e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10))
 
 
-@query()
+SMALL = f"(SELECT vec_id, list_transform(v, lambda x: CASE WHEN x < 0 THEN -floor(-x * 127 + 0.5) ELSE floor(x * 127 + 0.5) END) AS q FROM ({UNIT}))"
+
+
+@query(f"SELECT vec_id, round(score / 16129, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT e.vec_id, {DOT.format('e.q', 'o.q')} AS score FROM {SMALL} e, (SELECT q FROM {SMALL} WHERE vec_id = 0) o) ORDER BY score DESC, vec_id LIMIT 10")
 def v8_int8_topk(spark, sf_dir):
     small = vector.int8_table(table(spark, sf_dir, "embeddings"), "embedding")
     own = small.where("vec_id = 0").select(vx.dequantize(F.col("embedding"))).first()[0]
