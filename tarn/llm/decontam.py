@@ -135,12 +135,8 @@ def _bloom(keys: DataFrame, log: int) -> np.ndarray:
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = MIN_CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) of pairs where a document holds ``least`` of an item's distinct shingles or more.
-
-    Shingles are ``WIDTH`` words, so items and documents of fewer words (null and empty ones too) match nothing.
-    Repeated rows of a document or an item give one pair. Null ids are kept as they are.
-    """
+def pairs_of(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = MIN_CONTAINMENT) -> DataFrame:
+    """(doc_id, th, item_id, n_shared, n_item): verified pairs; th tells apart texts of one id."""
     spark = docs.sparkSession
     small_batches(spark)
     tests = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("item")).where("item is not null").distinct().withColumn("ih", F.xxhash64("item"))
@@ -160,7 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     doc_type = docs.schema[doc_id].dataType.simpleString()
     parts = sorted(r[0] for r in keys.select("part").distinct().collect())  # 31 at most
     if not parts:
-        return spark.createDataFrame([], f"doc_id {doc_type}, item_id {id_type}, n_shared bigint, n_item bigint, containment double")
+        return spark.createDataFrame([], f"doc_id {doc_type}, th bigint, item_id {id_type}, n_shared bigint, n_item bigint")
     n = keys.count()
     log = min(BLOOM_BITS[1], max(BLOOM_BITS[0], int(np.ceil(np.log2(16 * n)))))
     bloom = spark.sparkContext.broadcast(_bloom(keys, log))
@@ -187,14 +183,24 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                 wanted = _grams(item)
                 size.append(len(wanted))
                 shared.append(len(wanted & grams))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "item_id", "n_shared", "n_item"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(1), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "th", "item_id", "n_shared", "n_item"])
+
+    out = both.select("doc_id", "item_id", "item", "body", F.col("_th").alias("th")).mapInArrow(verify, f"doc_id {doc_type}, th bigint, item_id {id_type}, n_shared bigint, n_item bigint")
+    return out.where(F.col("n_shared") >= least * F.col("n_item"))
 
-    out = both.select("doc_id", "item_id", "item", "body").mapInArrow(verify, f"doc_id {doc_type}, item_id {id_type}, n_shared bigint, n_item bigint")
-    out = out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
-    return out.where(F.col("n_shared") >= least * F.col("n_item")).distinct()
+
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) of pairs where a document holds 0.8 (``least``) of an item's distinct shingles or more.
+
+    Shingles are ``WIDTH`` words, so items and documents of fewer words (null and empty ones too) match nothing.
+    Repeated rows of a document or an item give one pair. Null ids are kept as they are.
+    """
+    out = pairs_of(docs, items, doc_id, text, **named).drop("th")
+    return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).distinct()
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
-    """``docs`` less the documents that hold an item; rows of a null id go if any of them does."""
-    bad = contaminated(docs, items, doc_id, text, **named).select(F.col("doc_id").alias("__tarn_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__tarn_bad")), "left_anti")
+    """``docs`` less the documents that hold an item; other texts of the same id stay."""
+    bad = pairs_of(docs, items, doc_id, text, **named).select(F.col("doc_id").alias("__tarn_id"), F.col("th").alias("__tarn_th")).distinct()
+    mine = F.col(doc_id).eqNullSafe(F.col("__tarn_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__tarn_th"))
+    return docs.join(bad, mine, "left_anti")

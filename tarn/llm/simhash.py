@@ -68,13 +68,13 @@ def fold(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row; null and wordless texts have fingerprint 0."""
+    """(doc_id, th, fp) of every row; th tells apart texts of one id, null and wordless texts have fingerprint 0."""
 
     def run(part: pa.RecordBatch) -> list:
         fp = fold([shingle_hashes(x) for x in blobs(part.column(part.num_columns - 1))])
         return [pa.array(fp.view(np.int64))]
 
-    return map_text(docs, {"doc_id": F.col(doc_id)}, text, "fp bigint", run, most=2 << 20)
+    return map_text(docs, {"doc_id": F.col(doc_id), "th": F.xxhash64(F.col(text).cast("string"))}, text, "fp bigint", run, most=2 << 20)
 
 
 # --- vantage-point trees --------------------------------------------------------------------
@@ -231,6 +231,16 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(gather, "a bigint, b bigint")
 
 
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, fp, root, component_id) of every row; root is the component's smallest fingerprint."""
+    rows = materialize(fingerprints(docs, doc_id, text), "fingerprints")
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
+    roots = components(links(prints), "a", "b")
+    joined = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.join(joined.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
@@ -238,17 +248,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     each give a row. Null ids never name a component: its id is the smallest id that is not null, or
     null if there is none. Other columns are not read. No rows give no rows.
     """
-    rows = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
-    roots = components(links(prints), "a", "b")
-    joined = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = joined.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    return grouped(docs, doc_id, text).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest id."""
-    found = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("__tarn_keep")).distinct()
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__tarn_keep")), "left_semi").dropDuplicates([doc_id])
+    """``docs`` with one row for each component: that of the smallest id (null ids last), then of the smallest text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    keep = grouped(docs, doc_id, text).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__tarn_id"), F.col("first.th").alias("__tarn_th"))
+    marked = docs.withColumn("__tarn_own", F.xxhash64(F.col(text).cast("string")))
+    mine = F.col(doc_id).eqNullSafe(F.col("__tarn_id")) & (F.col("__tarn_own") == F.col("__tarn_th"))
+    return marked.join(keep, mine, "left_semi").dropDuplicates([doc_id, "__tarn_own"]).drop("__tarn_own")

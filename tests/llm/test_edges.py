@@ -58,3 +58,16 @@ def test_stage(spark, tmp_path, name, stage):
         if name != "bpe":
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
         assert got <= len(rows)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    """Null and repeated ids: each component keeps one row, and only the text that holds an item goes."""
+    item = "one two three four five six seven"
+    rows = [(None, f"clean words of a text {i} " * 5, "en", "s", 0) for i in range(3)] + [(1, "a b c d " * 9, "en", "s", 0), (1, "e f g h i " * 9, "en", "s", 0), (1, f"x {item} y", "en", "s", 0), (None, item, "en", "s", 0), (2, "a b c d " * 9, "en", "s", 0)]
+    docs = spark.createDataFrame(rows + rows, COLUMNS)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.without_contaminated(docs, bench).collect()
+    assert sorted(r.text for r in kept) == sorted(2 * [t for _, t, *_ in rows if item not in t])
+    one = simhash.one_of_each(docs)
+    n = simhash.grouped(docs).select("root").distinct().count()
+    assert one.columns == docs.columns and one.count() == n and not one.where("doc_id = 2").count()
