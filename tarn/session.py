@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is a scan of fewer partitions, as of one small file; larger scans are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < n < cores else df
