@@ -181,3 +181,42 @@ def test_chain_scores_against_brute_force():
 
 def test_common():
     assert chaining.common(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 4])) == 2 and chaining.common(np.array([]), np.array([1])) == 0
+
+
+def test_two_passages_of_one_pair(spark):
+    """Exact passages with other words between them are found at any gap, on one diagonal or not."""
+    r = random.Random(21)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs, places = [], {}
+    for k, (n, gap, more) in enumerate([(60, 10, 0), (60, 35, 0), (60, 50, 3), (60, 75, 0), (60, 100, 9), (200, 150, 0), (200, 300, 5)]):
+        one, two = text(n), text(n)
+        for j in (0, 1):
+            docs.append((2 * k + j, " ".join(text(30) + one + text(gap + j * more) + two + text(30))))
+            places[2 * k + j] = set(range(30, 30 + n)) | set(range(30 + n + gap + j * more, 30 + 2 * n + gap + j * more))
+    rows = chaining.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for k in range(len(docs) // 2):
+        own = [x for x in rows if x.doc_id // 2 == k]
+        assert own and all(x.other_id // 2 == k and x.similarity >= 0.8 for x in own)
+        assert places[own[0].doc_id] <= {i for x in own for i in range(x.start, x.end)}
+        assert places[own[0].other_id] <= {i for x in own for i in range(x.other_start, x.other_end)}
+
+
+def test_windows_against_brute_force():
+    r = random.Random(22)
+    for _ in range(200):
+        x = y = 0
+        found = []
+        for _ in range(r.randint(1, 12)):
+            n = r.randint(1, 40)
+            found.append((x, y, n, 0))
+            x, y = x + n + r.randint(1, 25), y + n + r.randint(0, 25)
+        want = set()
+        for i in range(len(found)):
+            for j in range(i, len(found)):
+                u, v = found[i][:2]
+                dx, dy = found[j][0] + found[j][2] - u, found[j][1] + found[j][2] - v
+                if sum(f[2] for f in found[i : j + 1]) >= 0.8 * max(dx, dy) - 1e-6 and dx >= chaining.MIN_CHAIN:
+                    want |= set(range(u, u + dx))
+        got = chaining.windows(np.array(found))
+        assert {k for g in got for k in range(g[0], g[1])} == want
+        assert all(g[4] >= 0.8 * max(g[1] - g[0], g[3] - g[2]) - 1e-6 for g in got)
