@@ -220,3 +220,34 @@ def test_windows_against_brute_force():
         got = chaining.windows(np.array(found))
         assert {k for g in got for k in range(g[0], g[1])} == want
         assert all(g[4] >= 0.8 * max(g[1] - g[0], g[3] - g[2]) - 1e-6 for g in got)
+
+
+def test_passages_that_are_quoted_in_part_before(spark):
+    """Two documents share a passage; others hold parts of it, whatever the order of the documents' hashes."""
+    r = random.Random(23)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs = []
+    for k in range(24):
+        p = text(60)
+        parts = [p[:45]] if k % 3 == 0 else [p[i : i + 17] for i in (0, 15, 30, 43)] if k % 3 == 1 else [p[:40], p[20:], p[:38], p[22:]]
+        docs += [(100 * k + j, " ".join(text(40) + own + text(40))) for j, own in enumerate([p, p, *parts])]
+    rows = chaining.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for k in range(24):
+        whole = [x for x in rows if {x.doc_id, x.other_id} == {100 * k, 100 * k + 1}]
+        assert any(x.passage_start <= 40 and x.passage_end >= 100 and x.n_equal >= 50 for x in whole), k
+
+
+def test_links_of_split_batches(spark):
+    """Links are the same wherever Arrow batches are cut: to the first document and to the one before."""
+    rows = [" ".join(f"p{j}" for j in range(12)) + f" own{i}" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc long, text string").repartition(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "3", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = {(a.doc, a.other) for a in chaining.anchors(df, "text").collect()}
+            # batches send on their first and last documents; one document before them is linked overall
+            assert {(i, 0) for i in range(1, 9)} <= got if n != "3" else {(3, 0), (6, 0), (1, 0), (2, 1), (5, 4), (3, 2), (6, 5)} <= got
+            assert {(i, i - 1) for i in range(1, 9)} <= got
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
