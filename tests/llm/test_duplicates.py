@@ -251,3 +251,16 @@ def test_links_of_split_batches(spark):
             assert {(i, i - 1) for i in range(1, 9)} <= got
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_fuzzy_passages_with_short_runs(spark):
+    """Words substituted at a fixed step, which leaves runs of 5 to 9 equal words: every passage is found, none by luck."""
+    r = random.Random(24)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs = []
+    for k in range(100):
+        own, step = text((55, 60, 80, 120)[k % 4]), (6, 7, 8, 10)[k // 4 % 4]
+        other = [w if i % step != step - 1 else w[::-1] + "x" for i, w in enumerate(own)]
+        docs += [(2 * k + j, " ".join(text(30) + p + text(30))) for j, p in enumerate((own, other))]
+    rows = chaining.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id // 2 for x in rows} == set(range(100)) and all(x.doc_id // 2 == x.other_id // 2 for x in rows)
