@@ -1,10 +1,10 @@
 """Licence notices in texts, by a trained paragraph classifier in DataFrame operations alone.
 
 A paragraph is a line. Its features are the distinct word 1- to 3-grams with a word that starts with one of
-``STEMS``; a sparse softmax regression over them, fitted on the notices below, gives the probabilities of
+``STEMS`` or with one of ``PHRASES``; a sparse softmax regression over them, fitted on the notices below, gives the probabilities of
 the families and of ``none``. Temperature and the bound under which a family becomes ``unknown`` are set on held-out
 notices. A prediction is confirmed by the share of the paragraph's trigrams that its family's texts have.
-As every feature needs a stem, paragraphs without one are ``none`` and are left out by one pattern before
+As every feature needs a stem or a phrase, and every notice has a feature, paragraphs without one are ``none`` and are left out by one pattern before
 anything is split; the others' features meet the weights (``MAX_FEATURES`` at most) in a broadcast join.
 """
 
@@ -21,9 +21,11 @@ NONE, UNKNOWN = "none", "unknown"
 MAX_FEATURES, ROUNDS, RATE, LASSO = 4_000, 400, 0.5, 2e-4
 MIN_SIMILARITY, PRECISION = 0.5, 0.99
 
-STEMS = ("licen", "unlicen", "copyright", "warrant", "redistribut", "apache", "gnu", "gpl", "lgpl", "agpl", "creativecommons", "reserved", "proprietary", "permission", "sublicen", "relicen", "spdx", "mozilla", "mpl", "bsd", "by-nc", "by-sa", "by-nd", "attribution", "noncommercial")
+STEMS = ("licen", "unlicen", "copyright", "warrant", "redistribut", "apache", "gnu", "gpl", "lgpl", "agpl", "creativecommons", "reserved", "proprietary", "permission", "sublicen", "relicen", "spdx", "mozilla", "mpl", "bsd", "by-nc", "by-sa", "by-nd", "attribution", "noncommercial", "cc")
+#: Words that only together hint at a notice; "mit" alone is also a German word.
+PHRASES = ("the mit", "under mit", "under a mit", "public domain", "released under", "terms of the")
 TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-GATE = rf"(?<![a-z0-9])(?:{'|'.join(STEMS)})"
+GATE = rf"(?<![a-z0-9])(?:{'|'.join(STEMS)}|(?:{'|'.join(p.replace(' ', '[^a-z0-9]+') for p in PHRASES)})(?![a-z0-9]))"
 
 #: How a family is called, and sentences that name one. Their combinations are training texts.
 NAMES = {
@@ -33,8 +35,9 @@ NAMES = {
     "LGPL": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License", "LGPL", "LGPL-2.1-only"],
     "BSD": ["BSD 3-Clause License", "2-clause BSD license", "BSD license", "BSD-3-Clause"],
     "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
-    "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial license"],
-    "CC-BY": ["CC BY 4.0", "CC BY-SA 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "Creative Commons Attribution-ShareAlike License"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial license", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"],
+    "CC-BY": ["CC BY 4.0", "CC BY-SA 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "Creative Commons Attribution-ShareAlike License", "CC-BY-4.0", "CC-BY-SA-4.0"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0", "CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"],
 }
 FORMS = [
     "Licensed under {}.",
@@ -65,6 +68,12 @@ SENTENCES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "CC0-1.0": [
+        "CC0 1.0 Universal",
+        "This work is dedicated to the public domain.",
+        "The authors have dedicated the work to the public domain by waiving all of their rights worldwide.",
+        "The text has been released into the public domain.",
+    ],
     "Proprietary": [
         "Copyright 2024 Example Inc. All rights reserved.",
         "Copyright (c) 2019 the authors. All rights reserved.",
@@ -99,6 +108,17 @@ SENTENCES = {
         "A license.",
         "Copyright.",
         "Permission was denied.",
+        "The album was released under a new name in the spring.",
+        "The prisoner was released under guard after a week.",
+        "The details were released under pressure from the press.",
+        "Both sides agreed on the terms of the treaty.",
+        "The terms of the deal were not known for a year.",
+        "She taught at the MIT for ten years before she came home.",
+        "A MIT study of the river found little change.",
+        "The engine has 250 cc and two wheels.",
+        "Please send the letter with cc to the whole office.",
+        "Old songs in the public domain were sung at the fair.",
+        "The matter is in the public domain since the trial.",
     ],
 }
 
@@ -115,7 +135,7 @@ def grams(words: list[str], n: int) -> list[str]:
 
 def features(text: str) -> set[str]:
     w = tokens(text)
-    return {g for n in (1, 2, 3) for g in grams(w, n) if any(p.startswith(STEMS) for p in g.split())}
+    return {g for n in (1, 2, 3) for g in grams(w, n) if any(p.startswith(STEMS) for p in g.split()) or any(f" {p} " in f" {g} " for p in PHRASES)}
 
 
 def _train(rows: list[set[str]], y: np.ndarray, k: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -182,7 +202,7 @@ def _native_grams(words: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, paragraph, body): the lines that have a word with a stem; repeated rows give one."""
+    """(doc_id, paragraph, body): the lines that have a word with a stem or a phrase; repeated rows give one."""
     body = F.col(text).cast("string")
     lines = docs.where(F.lower(body).rlike(GATE)).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(body, "\n")).alias("paragraph", "body"))
     return lines.where(F.lower("body").rlike(GATE)).distinct()

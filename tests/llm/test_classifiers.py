@@ -135,3 +135,15 @@ def test_licenses(spark):
 def test_licenses_run_no_python(spark):
     plan = licenses.scan_licenses(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_every_notice_reaches_the_classifier(spark):
+    for family, texts in licenses.NOTICES.items():
+        for t in texts:
+            assert family == licenses.NONE or (re.search(licenses.GATE, t.lower()) and licenses.features(t)), t
+    notices = {"Released under the CC BY 4.0.": "CC-BY", "The text is available under a CC BY 4.0.": "CC-BY", "Distributed under the terms of the MIT.": "MIT", "Released under the MIT.": "MIT", "CC0 1.0 Universal": "CC0-1.0", "CC-BY-NC-4.0": "CC-BY-NC", "This work is dedicated to the public domain.": "CC0-1.0"}
+    others = ["Er kam mit dem Hund und der Katze.", "The album was released under a new label.", "They agreed on the terms of the sale."]
+    lines = [*notices, *others]
+    got = {r.paragraph: r.family for r in licenses.scan_licenses(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    # one token has no trigrams that could confirm its family
+    assert got == {i: licenses.UNKNOWN if " " not in n else notices[n] for i, n in enumerate(notices)}
