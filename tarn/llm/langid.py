@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tarn.llm.common import map_text
 
 BLOCK, BUCKETS = 2_000, 8_192
-#: Bounds of the training sample: documents of each language, code points of each, landmarks, languages.
-DOCS_PER_LANG, CHARS_PER_DOC, LANDMARKS, MAX_LANGS = 240, 6_000, 256, 200
+#: Bounds of the training sample: documents of each language, code points of each, landmarks (or one for each language).
+DOCS_PER_LANG, CHARS_PER_DOC, LANDMARKS = 240, 6_000, 256
 RIDGE, SHARPNESS, UNKNOWN = 1e-2, 4.0, "und"
 #: Code points of a text that are scored at a time, whole blocks.
 SLICE = 200 * BLOCK
@@ -138,16 +138,12 @@ def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[l
     )
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     top = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANG)
-    langs = [r[0] for r in top.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    chosen = F.broadcast(top.where(F.col("lang").isin(langs)).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")))
+    chosen = F.broadcast(top.select(F.col("id").alias("_id"), F.col("lang").alias("_lang")))
     own = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.substring(F.col(text).cast("string"), 1, CHARS_PER_DOC).alias("_text"))
-    rows = (
-        own.join(chosen, ["_id", "_lang"])
-        .distinct()
-        .orderBy("_lang", "_id", F.xxhash64("_text"))
-        .limit(2 * DOCS_PER_LANG * max(1, len(langs)))
-        .toArrow()
-    )
+    # an id may have many texts
+    place = Window.partitionBy("_lang").orderBy("_id", F.xxhash64("_text"))
+    rows = own.join(chosen, ["_id", "_lang"]).distinct().withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= 2 * DOCS_PER_LANG)
+    rows = rows.orderBy("_lang", "_rank").select("_text", "_lang").toArrow()
     return [t or "" for t in rows["_text"].to_pylist()], rows["_lang"].to_pylist()
 
 

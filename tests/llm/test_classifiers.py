@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -147,3 +148,11 @@ def test_every_notice_reaches_the_classifier(spark):
     got = {r.paragraph: r.family for r in licenses.scan_licenses(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
     # one token has no trigrams that could confirm its family
     assert got == {i: licenses.UNKNOWN if " " not in n else notices[n] for i, n in enumerate(notices)}
+
+
+def test_every_language_is_learned(spark):
+    """More than 200 languages, and one whose ids repeat over many texts, leave no language out."""
+    rows = [(i, f"text {i}", f"l{i % 230:03d}") for i in range(920)] + [(5000, f"again {i}", "a") for i in range(3000)]
+    texts, langs = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    want = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(langs) == want and len(want) > 200 and len(texts) == len(langs) and max(map(langs.count, want)) <= 2 * langid.DOCS_PER_LANG
