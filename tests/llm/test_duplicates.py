@@ -237,22 +237,85 @@ def test_passages_that_are_quoted_in_part_before(spark):
         assert any(x.passage_start <= 40 and x.passage_end >= 100 and x.n_equal >= 50 for x in whole), k
 
 
-def test_links_of_split_batches(spark):
-    """Links are the same wherever Arrow batches are cut: to the first document and to the one before."""
+def test_links_do_not_depend_on_batches(spark):
+    """Links go to the two documents before, wherever batches, partitions, buckets and ranges are cut."""
     rows = [" ".join(f"p{j}" for j in range(12)) + f" own{i}" for i in range(9)]
-    df = spark.createDataFrame(list(enumerate(rows)), "doc long, text string").repartition(1)
+    df = spark.createDataFrame([(i * 2**59 - 2**62, t) for i, t in enumerate(rows)], "doc long, text string")
+    want = {(i, i - k) for i in range(9) for k in (1, 2) if i >= k}
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hot = chaining.HOT_SAMPLE, chaining.HOT_SHARE
     try:
-        for n in ("1", "3", "1000"):
+        for n, parts, buckets, ranges in (("1", 1, 1, 1), ("3", 1, 5, 1), ("1000", 4, 2, 1), ("1000", 3, 2, 7), ("2", 1, 1, 40)):
+            chaining.HOT_SAMPLE, chaining.HOT_SHARE = 1, 20
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-            got = {(a.doc, a.other) for a in chaining.anchors(df, "text").collect()}
-            # batches send on their first and last documents; one document before them is linked overall
-            assert {(i, 0) for i in range(1, 9)} <= got if n != "3" else {(3, 0), (6, 0), (1, 0), (2, 1), (5, 4), (3, 2), (6, 5)} <= got
-            assert {(i, i - 1) for i in range(1, 9)} <= got
+            got = {(a.doc // 2**59 + 8, a.other // 2**59 + 8) for a in chaining.anchors(df.repartition(parts), "text", buckets, ranges).collect()}
+            assert got == want, (n, parts, buckets, ranges)
     finally:
+        chaining.HOT_SAMPLE, chaining.HOT_SHARE = hot
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+def test_packed_seeds():
+    r = np.random.default_rng(5)
+    for top in (100, 70_000):
+        counts = r.integers(1, 6, 9)
+        seed, at = r.integers(0, 1 << 40, counts.sum(), dtype=np.uint64), r.integers(-top, top, counts.sum())
+        docs = r.integers(-(1 << 62), 1 << 62, 9)
+        got = chaining.unpack(chaining.pack(docs, counts, seed, at))
+        assert all(np.array_equal(a, b) for a, b in zip(got, (seed, np.repeat(docs, counts), at)))
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *row]
+        prev = row[1:]
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(prev[j] + 1 if x == y else max(out[j], prev[j + 1]))
+        row = out
+    return row[-1]
+
+
+def test_common_against_brute_force():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = (r.integers(0, 6, r.integers(0, 90)) for _ in range(2))
+        assert chaining.common(a, b) == brute_lcs(a.tolist(), b.tolist())
+
+
+def test_long_gaps_and_long_ends_count():
+    """A gap of 170 words with every fourth changed, and a match that goes on far beyond its seeds."""
+    a = np.arange(370)
+    b = a.copy()
+    b[100:270:4] = -1
+    segs = np.array([[0, 0, 100], [270, 270, 100]])
+    found, more = chaining.measure_chain(a, b, segs, (0, 370), (0, 370), 64, False, False)
+    assert not more and found[0][4] == 370 - 43 and found[0][:2] == (0, 370)
+    assert chaining.measure_chain(a[200:], a[200:], np.array([[0, 0, 20]]), (0, 20), (0, 20), 64, True, True)[1]
+
+
+def test_passages_against_brute_force(spark):
+    """Random corpora of fuzzy passages: what an exhaustive alignment finds is found, whatever the partitions."""
+    r = random.Random(25)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    docs, truth = [], []
+    for k in range(150):
+        own = text(r.choice((60, 75, 100, 200)))
+        other, rate = [], r.choice((0.0, 0.05, 0.1, 0.15))
+        for w in own:
+            u = r.random()
+            other += [w] if u >= rate else [] if u < rate / 4 else [w, "new"] if u < rate / 2 else [w[::-1] + "x"]
+        truth.append(brute_lcs(own, other) / max(len(own), len(other)))
+        docs += [(2 * k + j, " ".join(text(r.randint(0, 60)) + p + text(r.randint(0, 60)))) for j, p in enumerate((own, other))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    results = [{tuple(x) for x in chaining.shared_passages(df.repartition(n)).collect()} for n in (1, 4, 16)]
+    assert results[0] == results[1] == results[2]
+    want = {k for k, s in enumerate(truth) if s >= 0.82}
+    got = {x[0] // 2 for x in results[0]}
+    assert len(want) > 100 and len(want & got) >= 0.97 * len(want) and all(x[0] // 2 == x[1] // 2 for x in results[0])
+
+
 def test_fuzzy_passages_with_short_runs(spark):
     """Words substituted at a fixed step, which leaves runs of 5 to 9 equal words: every passage is found, none by luck."""
     r = random.Random(24)
