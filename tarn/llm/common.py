@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,6 +74,12 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no DataFrame needs any more; by itself it waits until the driver's memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def blobs(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

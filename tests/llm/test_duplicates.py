@@ -265,6 +265,14 @@ def test_packed_seeds():
         assert all(np.array_equal(a, b) for a, b in zip(got, (seed, np.repeat(docs, counts), at)))
 
 
+def test_packed_anchors():
+    r = np.random.default_rng(7)
+    for top in (100, 70_000):
+        doc, other = np.repeat([-5, 3, 3, 9], [2, 1, 4, 1]), np.repeat([1, 2, 4, 4], [2, 1, 4, 1])
+        x, y = (r.integers(0, top, 8) for _ in range(2))
+        assert all(np.array_equal(a, b) for a, b in zip(chaining.unpack_anchors(chaining.pack_anchors(doc, other, x, y)), (doc, other, x, y)))
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
