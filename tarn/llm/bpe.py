@@ -17,11 +17,12 @@ import base64
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,11 @@ RUN = regex.compile(r"\p{L}+|\p{N}+|\p{White_Space}+|[^\p{White_Space}\p{L}\p{N}
 class Codec:
     """Encoder and decoder of one vocabulary file of the tokenizers library (byte-level BPE)."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str | bytes):
+        """``vocabulary``: a file's path or its contents."""
         import tiktoken
 
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = json.loads(vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes())
         vocab = spec["model"]["vocab"]
         char_byte = {c: b for b, c in _byte_chars().items()}
         ranks = {bytes(char_byte[c] for c in token): i for token, i in vocab.items()}
@@ -170,9 +172,16 @@ def leaves(text: str, leaf: int = LEAF) -> list[str]:
     return leaves(text[:mid], leaf) + leaves(text[mid:], leaf)
 
 
-@cache
-def codec(path: str) -> Codec:
-    return Codec(path)
+_codecs: dict[bytes, Codec] = {}
+
+
+def codec(held: Broadcast | str) -> Codec:
+    """The codec of a vocabulary that the driver sent, or of a file here; made once by each worker."""
+    data = Path(held).read_bytes() if isinstance(held, str) else held.value
+    key = hashlib.sha256(data).digest()
+    if key not in _codecs:
+        _codecs[key] = Codec(data)
+    return _codecs[key]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -194,7 +203,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     spark = docs.sparkSession
     small_batches(spark)
     finish = finish or _digest
-    path = path or vocabulary_path()
+    # executors need no file: the vocabulary, a few MB, goes with the tasks
+    held = spark.sparkContext.broadcast(Path(path or vocabulary_path()).read_bytes())
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -203,7 +213,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     kinds = [{"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split(" ")[1]] for x in fields.split(", ")]
 
     def whole(part: pa.RecordBatch) -> list:
-        c = codec(path)
+        c = codec(held)
         done = [finish(c, c.encode(t)) for t in part.column(part.num_columns - 1).to_pylist()]
         return [pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)]
 
@@ -211,7 +221,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each leaf or special id of each text."""
-        c = codec(path)
+        c = codec(held)
         for batch in batches:
             for r, t in enumerate(batch.column(1).to_pylist()):
                 n = 0
@@ -225,7 +235,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
                     n += len(own)
 
     def ids_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(held)
         for batch in batches:
             special, texts = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             ids = [c.leaf(t).astype("<u4").tobytes() if s < 0 else b"" for s, t in zip(special, texts)]
@@ -233,7 +243,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
 
     def joined(table: pa.Table) -> pa.Table:
         """All leaves of one id and text; a text that occurs in several rows has each leaf as often."""
-        c = codec(path)
+        c = codec(held)
         at = {}
         copies: dict[int, int] = {}
         for leaf, part, special, ids in zip(*[table[k].to_pylist() for k in ("leaf", "part", "special", "ids")]):

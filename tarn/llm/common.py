@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ from tarn.session import ship_package
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 _roots: dict[str, SparkSession] = {}
+_local: dict[str, str] = {}
+#: Folders that were written and not deleted yet, oldest first.
+_written: list[str] = []
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,11 +41,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this application under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A folder of this application under ``spark.checkpoint.dir``; where that is unset, a local one of a local session, and an error elsewhere.
+
+    Executors of a cluster would each write to a local folder of their own, and later reads would miss those files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local.get(spark.sparkContext.applicationId)
     if not base:
-        base = tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tarn-")
     root = f"{base.rstrip('/')}/tarn-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots[root] = spark
@@ -62,6 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends there, and any executor can be lost."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tarn_path = path
@@ -72,6 +81,34 @@ def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     if path := getattr(df, "tarn_path", None):
         remove(df.sparkSession, path)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what is materialized inside, but for the tables that are put in the list; so an operator's own tables go with the stage that used them."""
+    before, keep = len(_written), []
+    try:
+        yield keep
+    finally:
+        kept = {getattr(df, "tarn_path", None) for df in keep}
+        for path in [p for p in _written[before:] if p not in kept]:
+            remove(spark, path)
+            _written.remove(path)
+
+
+def unique_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        name = f"__tarn_{n}"
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -105,7 +142,7 @@ def map_text(df: DataFrame, keep: dict[str, Column], text: str, fields: str, fn:
     """
     spark = df.sparkSession
     small_batches(spark)
-    rows = df.select(*[c.alias(k) for k, c in keep.items()], F.col(text).cast("string").alias("_text"))
+    rows = df.select(*[c.alias(k) for k, c in keep.items()], F.col(f"`{text}`").cast("string").alias("_text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     schema = f"{head}, {fields}" if keep else fields
     names = list(keep) + [x.split()[0] for x in fields.split(", ")]

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialize
+from tarn.llm.common import materialize, unique_names
 
 MIN_SITES, LG_K = 10, 12
 #: ASCII white space; a line of nothing else is never boilerplate.
@@ -39,28 +39,32 @@ def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     return spread.where(F.col("sites") > high).union(sure).select("h1", "h2", "first")
 
 
-def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``docs`` with columns ``_kept_text``, ``_lines`` and ``_removed`` (numbers of lines) added.
+def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, names: tuple[str, str, str] = ("_kept_text", "_lines", "_removed")) -> DataFrame:
+    """``docs`` with three columns added, ``names``: the text that is left, and the numbers of lines and of removed ones.
 
     Lines are what lies between newlines, compared as they are. Null texts stay null with no lines;
-    an empty text has one line. Rows that repeat both id and text count as one document, so
-    each keeps its first copies. Null ids sort first. No rows give no rows.
+    an empty text has one line; long texts are split whole. Rows that repeat both id and text count as one document, so
+    each keeps its first copies; of copies in several documents that of the smallest id stays, then of the smallest text hash. Null ids
+    sort first. No rows give no rows. Columns of ``docs`` with one of ``names`` are refused.
     """
+    if clash := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns exist already: {sorted(clash)}; give other names")
+    own_doc, own_th, gone, split = unique_names(docs, "doc", "th", "drop", "parts")
     rows = materialize(lines(docs, doc_id, text, site), "lines")
     bad = boilerplate(rows, min_sites, lg_k)
     copies = rows.join(bad, ["h1", "h2"]).where(~F.struct("doc", "th", "pos").eqNullSafe(F.col("first")))
-    drop = copies.groupBy("doc", "th").agg(F.collect_set("pos").alias("__tarn_drop")).select(F.col("doc").alias("__tarn_doc"), F.col("th").alias("__tarn_th"), "__tarn_drop")
-    body = F.col(text).cast("string")
-    joined = docs.join(drop, F.col(doc_id).eqNullSafe(F.col("__tarn_doc")) & (F.xxhash64(body) == F.col("__tarn_th")), "left")
+    drop = copies.groupBy("doc", "th").agg(F.collect_set("pos").alias(gone)).select(F.col("doc").alias(own_doc), F.col("th").alias(own_th), gone)
+    body = F.col(f"`{text}`").cast("string")
+    joined = docs.join(drop, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_doc)) & (F.xxhash64(body) == F.col(own_th)), "left")
     # a column of its own: inside a lambda the split would run again for each line
-    joined = joined.withColumn("__tarn_parts", F.when(F.col("__tarn_drop").isNotNull(), F.split(body, "\n")))
-    parts = F.col("__tarn_parts")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__tarn_drop"))
-    kept = F.when(F.col("__tarn_drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    joined = joined.withColumn(split, F.when(F.col(gone).isNotNull(), F.split(body, "\n")))
+    parts = F.col(split)
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     n_lines = F.when(body.isNull(), 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)
     return joined.select(
-        *[docs[f"`{c}`"] for c in docs.columns],
-        kept.alias("_kept_text"),
-        n_lines.cast("bigint").alias("_lines"),
-        F.coalesce(F.size("__tarn_drop"), F.lit(0)).cast("bigint").alias("_removed"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        kept.alias(names[0]),
+        n_lines.cast("bigint").alias(names[1]),
+        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(names[2]),
     )

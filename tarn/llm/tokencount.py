@@ -7,14 +7,16 @@ merges. Words repeat, so a bounded table keeps their counts.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
-from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ ODD = regex.compile("[\x1c-\x1f]")
 class TokenCounter:
     """Counts for one vocabulary file of the tokenizers library: NFC, lower case, BPE with an end-of-word suffix."""
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, vocabulary: str | bytes):
+        """``vocabulary``: a file's path or its contents."""
+        spec = json.loads(vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes())
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         chars = _byte_chars()
@@ -115,9 +118,16 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
-@cache
-def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+_counters: dict[bytes, TokenCounter] = {}
+
+
+def counter(held: Broadcast | str) -> TokenCounter:
+    """The counter of a vocabulary that the driver sent, or of a file here; made once by each worker."""
+    data = Path(held).read_bytes() if isinstance(held, str) else held.value
+    key = hashlib.sha256(data).digest()
+    if key not in _counters:
+        _counters[key] = TokenCounter(data)
+    return _counters[key]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,10 +135,11 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, d
 
     Null and empty texts have no bytes and no tokens. Repeated rows each give a row, null ids stay null.
     """
-    path = path or vocabulary_path(VOCABULARY)
+    # executors need no file: the vocabulary, a few MB, goes with the tasks
+    held = docs.sparkSession.sparkContext.broadcast(Path(path or vocabulary_path(VOCABULARY)).read_bytes())
 
     def run(part: pa.RecordBatch) -> list:
-        c, column = counter(path), part.column(part.num_columns - 1)
+        c, column = counter(held), part.column(part.num_columns - 1)
         n = pa.array([c.count(t) for t in column.to_pylist()], pa.int64())
         return [pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), n, pc.greater(n, limit)]
 

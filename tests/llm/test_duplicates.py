@@ -67,23 +67,34 @@ def test_trees_find_every_link():
     x = np.unique(np.array(base, dtype=np.uint64))
     old, simhash.LEAF = simhash.LEAF, 256
     try:
+        counts = [np.bincount((x >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16) for i in range(4)]
+        dealer = simhash.Dealer(counts, 8)
+        dealer.fit_below(x)
+        assert dealer.below
+        shard, rows, home = dealer.shards(x)
+        assert np.bincount(rows[home]).tolist() == [4] * len(x)
         pairs = []
-        for half in simhash.HALVES:
-            tree = simhash.grow(x, half, 5)
-            shards = {}
-            for shard, rows, home in simhash.deal(x, tree):
-                shards.setdefault(shard, []).append((x[rows], home))
-            assert sum(int(h.sum()) for parts in shards.values() for _, h in parts) == len(x)
-            for parts in shards.values():
-                v, h = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-                a, b = simhash.search(v[h], v[~h], half)
-                pairs.append((a, b))
+        for s in np.unique(shard):
+            v, h = x[rows[shard == s]], home[shard == s]
+            pairs.append(simhash.search(v[h], v[~h], simhash.BLOCKS[(s >> 32) % 4]))
     finally:
         simhash.LEAF = old
     a, b = (np.searchsorted(x, np.concatenate([p[i] for p in pairs])) for i in (0, 1))
     assert simhash.join_labels(len(x), a, b).tolist() == [min(i for i, q in enumerate(roots) if q == r) for roots in [brute_components([int(v) for v in x])] for r in roots]
 
 
+def test_shards_of_ten_million():
+    """Four copies of each fingerprint and no shard far over its target, with one hot block value too."""
+    x = np.random.default_rng(12).integers(0, 1 << 63, 10_000_000, dtype=np.uint64) * np.uint64(2)
+    x[:400_000] = x[:400_000] >> np.uint64(16) << np.uint64(16) | np.uint64(77)
+    dealer = simhash.Dealer([np.bincount((x >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16) for i in range(4)])
+    dealer.fit_below(x[::40])
+    shard, rows, home = dealer.shards(x)
+    assert home.sum() == 4 * len(x) and np.unique(shard[home], return_counts=True)[1].max() <= 4 * simhash.SHARD
+    # beside the hot value all have four copies, and those of the hot one are bounded by its few levels
+    assert len(rows) - 4 * len(x) < 10 * 400_000 and (np.bincount(rows)[400_000:] > 4).mean() < 1e-4
+
+
 def test_components_of_long_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (None, 3), (7, 8)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
@@ -121,11 +132,45 @@ def test_contained_items(spark):
             docs.append((10 * i + j, " ".join(filler[:1500] + own + filler[1500:])))
     docs += [(500, None), (501, ""), (502, "a b"), (503, items[3][1].upper() + "\t\n" + items[4][1]), (503, items[3][1].upper() + "\t\n" + items[4][1])]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (98, None), (99, "")], "item_id long, text string")
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
-    want = {(x, i) for x, t in docs for i, q in items if grams(q) and len(grams(q) & grams(t)) >= 0.8 * len(grams(q))}
+    want = brute_contained(docs, items)
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()} == want and (503, 3) in want and (50, 5) in want
+    assert (70, 7) in want and (80, 8) in want
     kept = {r.doc_id for r in decontam.without_contaminated(d, b).collect()}
-    assert kept == {x for x, _ in docs} - {x for x, _ in want}
+    assert kept == {x for x, _ in docs} - {x for x, i in want if len(items[i][1].split()) >= 5}
+
+
+def brute_contained(docs, items):
+    def grams(text, n):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+
+    out = set()
+    for i, q in items:
+        n = min(5, len((q or "").split()))
+        own = grams(q, n)
+        out |= {(x, i) for x, t in docs if own and len(own & grams(t, n)) >= 0.8 * len(own)}
+    return out
+
+
+def test_repetitive_scattered_and_short_items(spark):
+    """Items with few distinct shingles, items spread over long documents in pieces, items near the threshold: no pair is lost."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items, docs = [], []
+    for n, cycle in ((600, 6), (300, 12), (1000, 8), (40, 3), (60, 60), (200, 200), (12, 12), (3, 3), (2, 2)):
+        for _ in range(12):
+            own = [word() for _ in range(cycle)]
+            own = [own[i % cycle] for i in range(n)]
+            i = len(items)
+            items.append((i, " ".join(own)))
+            filler = [word() for _ in range(3000)]
+            cut = sorted(r.sample(range(1, n), min(3, n - 1)))
+            pieces = [own[a:b] for a, b in zip([0, *cut], [*cut, n])]
+            docs += [(10 * i, " ".join(filler[:900] + own + filler[900:])), (10 * i + 1, " ".join(filler[:500] + sum((p + filler[k * 600 : k * 600 + 500] for k, p in enumerate(pieces)), []))),
+                     (10 * i + 2, " ".join(filler[:70] + own[: n * 5 // 6] + filler[70:99])), (10 * i + 3, " ".join(own[:cycle + 4]))]
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_contained(docs, items)
+    assert got == want and len(want) > 200
 
 
 def test_shared_passages(spark):

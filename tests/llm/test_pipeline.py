@@ -46,9 +46,9 @@ def brute_clean(docs, items):
 def test_run(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     docs = {r.doc_id: r.asDict() for r in source.collect()}
-    names, matrix = langid.fit(*langid.training_rows(source, "doc_id", "text", "lang"))
+    names, matrix, sharpness = langid.learn(*langid.training_rows(source, "doc_id", "text", "lang"))
     ids = sorted(docs)
-    langs, scores = langid.score([docs[i]["text"] for i in ids], names, matrix)
+    langs, scores = langid.score([docs[i]["text"] for i in ids], names, matrix, sharpness)
     docs = {i: docs[i] for i, lang, s in zip(ids, langs, scores) if lang != "und" and s >= p.MIN_SCORE}
     docs = brute_clean(brute_copies(brute_lines(docs)), [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     tokenizer = Tokenizer.from_file(bpe.vocabulary_path())
