@@ -1,10 +1,10 @@
-"""Quality of documents by hierarchical empirical Bayes over hosts and paths.
+"""Quality of documents by hierarchical empirical Bayes over hosts and their paths.
 
-A logistic regression on counts of the text gives each document a probability. Its sums over all
-documents by host and path, gathered in one aggregation, give posteriors: a host's mean shrinks toward
-the global mean, a path's toward its host's, by strengths that the method of moments finds from
-the spread of the means. A document's final odds are its own evidence, moved by its path's posterior
-without its own share.
+A logistic regression on counts of the text gives each document a probability, calibrated to the labels' share of good documents. Its sums over all
+documents by host and by the leading parts of the path, gathered in one aggregation for each level, give posteriors: a host's mean shrinks toward
+the global mean, a path's toward that of the path above it, by strengths that the method of moments finds from
+the spread of the means. A document's final odds are by Bayes' rule those of its own evidence, with the global prior
+exchanged for the posterior of its path, in which the document itself is counted at no level. No weight is set by hand.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from tarn.llm.common import blobs, map_text, materialize
 from tarn.llm.rules import DIGITS, SYMBOLS, UPPER, base_counts, sample, without
 
-#: Bounds of the training sample: documents of each label, characters of each.
-TRAIN_DOCS, TRAIN_CHARS, RIDGE = 1_000, 20_000, 1.0
-MIN_QUALITY, PRIOR_WEIGHT = 0.5, 0.5
-#: Limits of the prior strengths, in documents.
+#: Bound of the training sample: documents of each label, read whole.
+TRAIN_DOCS, RIDGE = 1_000, 1.0
+MIN_QUALITY = 0.5
+#: Parts of a path that are levels of their own; deeper paths belong to their first parts.
+DEPTH = 3
+#: Limits of the prior strengths, in documents, for levels that tell too little.
 STRENGTH = (2.0, 1_000.0)
 FLOOR = 1e-6
 
@@ -32,20 +34,22 @@ def features(blob: bytes | None) -> list[float]:
     return [1.0, np.log1p(n), min(1.0, 10 * symbols / c1), min(1.0, 4 * without(blob, UPPER) / c1), min(1.0, 4 * without(blob, DIGITS) / c1), dup / max(len(lines), 1), again / n1, min(2.0, chars / n1 / 10), float(n < 20), min(1.0, 5 * blob.count(b"!!") / n1), min(1.0, 5 * without(blob, SYMBOLS) / n1)]
 
 
-def fit(texts: list[bytes], labels: list[int]) -> np.ndarray | None:
-    """Ridge-penalised logistic regression by Newton steps, both labels weighing the same; None without both labels."""
+def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> np.ndarray | None:
+    """Ridge-penalised logistic regression by Newton steps, for a corpus with this share of label 1; None without both labels."""
     if len(set(labels)) < 2:
         return None
     x, y = np.array([features(t) for t in texts]), np.array(labels, dtype=float)
-    weight = len(y) / 2 / np.bincount(y.astype(int), minlength=2)[y.astype(int)]
     w, penalty = np.zeros(x.shape[1]), RIDGE * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
+    if share is not None:
+        # the sample has other shares of the labels than the corpus
+        w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return w
 
 
@@ -62,44 +66,71 @@ def evidence(docs: DataFrame, model: np.ndarray | None, keys: dict[str, Column],
     return map_text(docs, keys, text, "p double", run)
 
 
-def _strength(groups: DataFrame, mean: str, n: str, about: Column, within: float) -> float:
-    """Documents that the prior is worth: by the moments of group means, spread beyond their sampling error."""
-    row = groups.agg(F.sum(F.col(n)).alias("n"), F.count("*").alias("k"), F.sum(F.col(n) * F.pow(F.col(mean) - about, 2)).alias("ss"), F.sum(F.col(n) * F.col(n)).alias("nn")).first()
-    if not row["n"] or row["k"] < 2:
+def strength(n: float, groups: int, squares: float, spread: float, within: float) -> float:
+    """Documents that the prior of a level is worth: variance within groups over that between them, by moments.
+
+    ``n``: documents of all groups; ``squares``: sum of their squared sizes; ``spread``: sum of size times squared distance from the parent; ``within``: sum of squares within.
+    """
+    if groups < 2 or n <= groups:
         return STRENGTH[1]
-    spread = (row["ss"] - (row["k"] - 1) * within) / max(row["n"] - row["nn"] / row["n"], 1)
-    return float(np.clip(within / spread if spread > 0 else STRENGTH[1], *STRENGTH))
+    own = max(within / (n - groups), 1e-6)
+    between = (spread - (groups - 1) * own) / max(n - squares / n, 1.0)
+    return float(np.clip(own / between if between > 0 else STRENGTH[1], *STRENGTH))
+
+
+def levels(host: Column, path: Column) -> list[Column]:
+    """Keys of a document from its host down: host, then its path's first parts; null where the path is not so deep."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    return [F.concat(F.lit("h"), F.coalesce(host, F.lit("")), F.when(host.isNull(), "0").otherwise("1")), *[F.get(parts, F.lit(i)) for i in range(DEPTH)]]
 
 
 def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """(doc_id, evidence, host_posterior, path_posterior, quality, kept) of every row.
+    """(doc_id, evidence, host_posterior, path_posterior, quality, kept) of every row; the posteriors are without the document itself.
 
-    Null hosts and paths are groups of their own. Null and empty texts are judged by their counts like any
-    other. Without labelled documents of both labels all evidence is 0.5 and every document
-    is kept. Repeated rows each give a row.
+    Null hosts are a host of their own; a null path is the host's root. Null and empty texts are judged by their counts like any
+    other; long texts are read whole. Without labelled documents of both labels all evidence is 0.5 and every document
+    is kept. Repeated rows each give a row; a quality of exactly ``MIN_QUALITY`` is kept; a label that stands twice with two values is 0.
     """
-    model = fit(*sample(docs, labels, doc_id, text, label, TRAIN_DOCS, TRAIN_CHARS))
-    scored = materialize(evidence(docs, model, {"doc_id": F.col(doc_id), "host": host, "path": path}, text), "evidence")
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
-    paths = materialize(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
-    n, s, q = total["n"] or 0, total["s"] or 0.0, total["q"] or 0.0
-    mean = float(np.clip(s / n if n else 0.5, FLOOR, 1 - FLOOR))
-    within = max(q / n - mean * mean, 1e-4) if n else 1.0
-    strong = _strength(hosts.withColumn("m", F.col("host_s") / F.col("host_n")), "m", "host_n", F.lit(mean), within)
-    hosts = hosts.withColumn("host_posterior", (F.col("host_s") + strong * mean) / (F.col("host_n") + strong))
-    both = paths.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
-    strong_path = _strength(both.withColumn("m", F.col("s") / F.col("n")), "m", "n", F.col("host_posterior"), within)
-    prior = both.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "s", "host_posterior")
-    joined = scored.join(prior, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    others = (F.col("s") - F.col("p") + strong_path * F.col("host_posterior")) / (F.col("n") - 1 + strong_path)
-    others = F.least(F.greatest(others, F.lit(FLOOR)), F.lit(1 - FLOOR))
-
-    def logit(c: Column) -> Column:
-        return F.ln(c / (1 - c))
-
-    odds = logit(F.col("p")) + PRIOR_WEIGHT * (logit(F.col("path_posterior")) - float(np.log(mean / (1 - mean))))
-    out = joined.withColumn("path_posterior", others).withColumn("quality", 1 / (1 + F.exp(-odds)))
+    count = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y")).agg(F.avg("y").alias("y")).first()["y"]
+    share = None if count is None else float(np.clip(count, 0.01, 0.99))
+    model = fit(*sample(docs, labels, doc_id, text, label, TRAIN_DOCS), share)
+    names = ["host", *[f"p{i}" for i in range(DEPTH)]]
+    scored = materialize(evidence(docs, model, {"doc_id": F.col(f"`{doc_id}`"), **dict(zip(names, levels(host, path)))}, text), "evidence")
+    groups = materialize(scored.groupBy(*names).agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "groups")
+    total = groups.agg(F.sum("n"), F.sum("s")).first()
+    all_n, all_s = float(total[0] or 0), float(total[1] or 0.0)
+    mean = float(np.clip(all_s / all_n if all_n else 0.5, FLOOR, 1 - FLOOR))
+    # each level's groups with their own sums and the posterior of the level above
+    wide, up, strong = groups, F.lit(mean), []
+    for k in range(len(names)):
+        keys = names[: k + 1]
+        whole = F.col(keys[-1]).isNotNull()
+        sums = groups.where(whole).groupBy(*keys).agg(F.sum("n").alias(f"n{k}"), F.sum("s").alias(f"s{k}"), F.sum("q").alias(f"q{k}"))
+        sums = sums.select(*[F.col(c).alias(f"_{c}") for c in keys], f"n{k}", f"s{k}", f"q{k}")
+        same = F.lit(True)
+        for c in keys:
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        wide = wide.join(sums, same, "left").drop(*[f"_{c}" for c in keys]).withColumn(f"up{k}", up)
+        n, s, q = (F.col(f"{x}{k}") for x in "nsq")
+        one = wide.where(whole).groupBy(*keys).agg(*[F.first(f"{x}{k}").alias(f"{x}{k}") for x in ("n", "s", "q", "up")])
+        row = one.agg(F.sum(n), F.count("*"), F.sum(n * n), F.sum(n * F.pow(s / n - F.col(f"up{k}"), 2)), F.sum(q - s * s / n)).first()
+        strong.append(strength(*[float(v or 0) for v in row]))
+        up = F.when(n.isNull(), F.col(f"up{k}")).otherwise((s + strong[k] * F.col(f"up{k}")) / (n + strong[k]))
+    wide = materialize(wide.select(*[F.col(c).alias(f"_{c}") for c in names], *[f"{x}{k}" for k in range(len(names)) for x in "ns"]), "paths")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # down the levels again, each without the document itself
+    p, post, posts = F.col("p"), F.lit(mean), []
+    for k, kappa in enumerate(strong):
+        n, s = F.col(f"n{k}"), F.col(f"s{k}")
+        post = F.when(n.isNull(), post).otherwise((s - p + kappa * post) / (n - 1 + kappa))
+        posts.append(post)
+    joined = scored.join(wide, same)
+    clip = lambda c: F.least(F.greatest(c, F.lit(FLOOR)), F.lit(1 - FLOOR))
+    logit = lambda c: F.ln(c / (1 - c))
+    out = joined.select("doc_id", p, clip(posts[0]).alias("host_posterior"), clip(posts[-1]).alias("path_posterior"))
+    odds = logit(p) + logit(F.col("path_posterior")) - float(np.log(mean / (1 - mean)))
+    out = out.withColumn("quality", 1 / (1 + F.exp(-odds)))
     r = {c: F.round(c, 6).alias(a) for c, a in (("p", "evidence"), ("host_posterior", "host_posterior"), ("path_posterior", "path_posterior"), ("quality", "quality"))}
     return out.select("doc_id", *r.values(), (F.col("quality") >= MIN_QUALITY).alias("kept"))

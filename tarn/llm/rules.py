@@ -1,8 +1,10 @@
 """Quality rules: counts of a text, and a linear-chain conditional random field over its lines.
 
-The field labels each line with a word content or boilerplate; it is trained on a bounded sample of
-labelled documents, whose lines all take their document's label, and decoded by Viterbi. A document
-is kept if the counts pass and at least ``MIN_SHARE`` of its words stand in content lines.
+The field labels each line with a word content or boilerplate and is decoded by Viterbi. It is trained on a bounded sample of
+labelled documents, read whole. Lines get their labels from the corpus: in a document of quality 1 a line is boilerplate if, over
+all documents, it follows ``MIN_CONTEXTS`` different lines or more, and content otherwise, so that labels change within a document; copies of
+a document do not make its lines boilerplate, as the line before is a copy too. All lines of a document of quality 0 are
+boilerplate. A document is kept if the counts pass and at least ``MIN_SHARE`` of its words stand in content lines.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ from tarn.llm.common import blobs, map_text
 
 SYMBOLS, WINDOW = b"#*$%&|<>", 8
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SHARE = 20, 30, 0.5
-#: Bounds of the training sample: documents of each label, bytes and lines of each.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 400, 20_000, 64
+#: Bound of the training sample: documents of each label.
+TRAIN_DOCS = 400
+#: Lines that are trained on as one sequence; a longer document gives several.
+SEQUENCE = 64
+#: Different lines before a line from which on it is boilerplate.
+MIN_CONTEXTS = 5
 ROUNDS, RATE, RIDGE = 200, 0.5, 1e-2
 #: Losing a content line weighs as much as letting so many boilerplate lines pass.
 CONTENT_WEIGHT = 3.0
@@ -108,27 +114,26 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(label[::-1], dtype=np.int8)
 
 
-def train(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
-    """(features by labels, label by next label) of greatest likelihood; None without both labels."""
-    if len(set(labels)) < 2:
-        return None
+def train(texts: list[bytes], labels: list[int], spread: frozenset[bytes] = frozenset()) -> tuple[np.ndarray, np.ndarray] | None:
+    """(features by labels, label by next label) of greatest likelihood; None without both labels. ``spread``: boilerplate lines of good documents."""
     seqs = []
     for blob, y in zip(texts, labels):
         *_, mask, lines = base_counts(blob)
-        if lines:
-            seqs.append((line_features(lines, mask)[0][:TRAIN_LINES], y))
-    if len({y for _, y in seqs}) < 2:
+        x = line_features(lines, mask)[0]
+        own = np.array([int(y == 1 and line not in spread) for line in lines], dtype=np.int64)
+        seqs += [(x[i : i + SEQUENCE], own[i : i + SEQUENCE], y, len(lines)) for i in range(0, len(lines), SEQUENCE)]
+    if len({y for *_, y, _ in seqs}) < 2:
         return None
-    d, t = len(seqs), max(len(x) for x, _ in seqs)
-    x = np.zeros((d, t, FEATURES))
+    d, t = len(seqs), max(len(x) for x, *_ in seqs)
+    x, gold = np.zeros((d, t, FEATURES)), np.zeros((d, t, 2))
     valid = np.zeros((d, t), dtype=bool)
-    for i, (f, _) in enumerate(seqs):
+    for i, (f, own, *_) in enumerate(seqs):
         x[i, : len(f)], valid[i, : len(f)] = f, True
-    y = np.array([y for _, y in seqs])
-    weight = (np.where(y == 1, CONTENT_WEIGHT, 1.0) / np.bincount(y, minlength=2)[y])[:, None]
-    gold = np.zeros((d, t, 2))
-    gold[np.arange(d), :, y] = 1
-    gold *= valid[..., None]
+        gold[i, np.arange(len(own)), own] = 1
+    y = np.array([y for *_, y, _ in seqs])
+    # a document weighs one, however many sequences it has
+    share = np.array([len(f) / n for f, _, _, n in seqs])
+    weight = (np.where(y == 1, CONTENT_WEIGHT, 1.0) * share / np.bincount(y, share, minlength=2)[y])[:, None]
     pair = valid[:, 1:] & valid[:, :-1]
     w, move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     speed_w, speed_m = np.zeros_like(w), np.zeros_like(move)
@@ -154,23 +159,32 @@ def train(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray
     return w, move
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int, chars: int) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of up to ``per_label`` labelled documents of each label 0 and 1: those of the smallest id hashes."""
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int) -> tuple[list[bytes], list[int]]:
+    """Whole texts and labels of up to ``per_label`` labelled documents of each label 0 and 1: those of the smallest id hashes."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).alias("_label"))
     top = None
     for y in (0, 1):
         part = known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
         top = part if top is None else top.union(part)
-    own = docs.select(F.col(doc_id).alias("_id"), F.substring(F.col(text).cast("string"), 1, chars).alias("_text"))
-    rows = (
-        own.join(F.broadcast(top), "_id")
-        .where("_text is not null")
-        .distinct()
-        .orderBy("_label", "_id", F.xxhash64("_text"))
-        .limit(2 * per_label)
-        .toArrow()
-    )
-    return [t.encode() for t in rows["_text"].to_pylist()], rows["_label"].to_pylist()
+    own = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    # 2 * per_label ids; of an id's texts that of the smallest hash counts
+    rows = own.join(F.broadcast(top), "_id").where("_text is not null").groupBy("_label", "_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    table = rows.orderBy("_label", "_id").toArrow()
+    return [t.encode() for t in table["_text"].to_pylist()], table["_label"].to_pylist()
+
+
+def spread_lines(docs: DataFrame, text: str, texts: list[bytes]) -> frozenset[bytes]:
+    """Those lines of the sample's ``texts`` that follow ``MIN_CONTEXTS`` different lines or more over all documents."""
+    lines = sorted({x for t in texts for x in t.split(b"\n") if x and not x.isspace()})
+    if not lines:
+        return frozenset()
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(i, x.decode("utf-8", "replace")) for i, x in enumerate(lines)], "n int, line string")
+    parts = F.filter(F.split(F.col(f"`{text}`").cast("string"), "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
+    pairs = F.transform("parts", lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.when(i > 0, F.xxhash64(F.get(F.col("parts"), i - 1))).otherwise(F.lit(0)).alias("before")))
+    rows = docs.select(parts.alias("parts")).select(F.inline(pairs)).join(F.broadcast(wanted.select("n", F.xxhash64("line").alias("h"))), "h")
+    found = rows.groupBy("n").agg(F.count_distinct("before").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
+    return frozenset(lines[r[0]] for r in found.select("n").collect())
 
 
 def content_words(lines: list[bytes], mask: np.ndarray | None, model) -> int:
@@ -186,9 +200,11 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
     Null and empty texts have no words and fail the base rules. Without labelled documents of both
     labels there is no field, every line is content and the base rules decide alone.
-    Repeated rows each give a row, null ids stay null.
+    Repeated rows each give a row, null ids stay null, and a label that stands
+    twice with two values is 0. Long texts are read whole; of equally good labellings a line is content.
     """
-    model = train(*sample(docs, labels, doc_id, text, label, TRAIN_DOCS, TRAIN_CHARS))
+    texts, known = sample(docs, labels, doc_id, text, label, TRAIN_DOCS)
+    model = train(texts, known, spread_lines(docs, text, [t for t, y in zip(texts, known) if y == 1]))
 
     def run(part: pa.RecordBatch) -> list:
         out = []

@@ -79,6 +79,80 @@ def test_quality_of_labelled_documents(spark):
         assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.1 * len(bad)
 
 
+def test_quality_of_documents_that_were_not_trained_on(spark):
+    docs, labels = spark.read.parquet(f"{SF2}/documents.parquet"), spark.read.parquet(f"{SF2}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    seen = labels.where(F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    held = {i: y for i, y in truth.items() if zlib.crc32(str(i).encode()) % 2}
+    for name, rows in (("rules", rules.quality(docs, seen).collect()), ("hostbayes", hostbayes.site_quality(docs, seen, F.col("source"), F.concat_ws("/", F.lit(""), "lang")).collect())):
+        rows = [r for r in rows if r.doc_id in held]
+        good = [r.kept for r in rows if held[r.doc_id] == 1 and (name == "hostbayes" or not r.base_failed)]
+        bad = [r.kept for r in rows if held[r.doc_id] == 0]
+        assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad) and len(bad) > 15, name
+
+
+def test_quality_query_against_brute_force(spark):
+    """``content_words`` and ``kept`` of every document, with lines labelled by enumeration or by a plain forward search."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts, known = rules.sample(docs, labels, "doc_id", "text", "quality", rules.TRAIN_DOCS)
+    every = [r.text for r in docs.collect()]
+    before = {}
+    for t in every:
+        own = [x for x in t.split("\n") if WORD.search(x)]
+        for a, b in zip([None, *own], own):
+            before.setdefault(b, set()).add(a)
+    good = {x for t, y in zip(texts, known) if y == 1 for x in t.decode().split("\n")}
+    spread = {x.encode() for x, a in before.items() if x in good and len(a) >= rules.MIN_CONTEXTS}
+    assert rules.spread_lines(docs, "text", [t for t, y in zip(texts, known) if y == 1]) == spread
+    w, move = rules.train(texts, known, frozenset(spread))
+    rows = {r.doc_id: r for r in queries()["op6_quality_rules"](spark, SF).collect()}
+    for r in docs.collect():
+        *_, mask, lines = rules.base_counts(r.text.encode())
+        n, content = len(WORD.findall(r.text)), 0
+        if lines:
+            x, sizes = rules.line_features(lines, mask)
+            emit = (x @ w).tolist()
+            best = [{y: (emit[0][y], (y,)) for y in (0, 1)}]
+            paths = best[0]
+            for e in emit[1:]:
+                paths = {y: max(((paths[b][0] + move[b][y] + e[y], (*paths[b][1], y)) for b in (0, 1)), key=lambda v: v[0]) for y in (0, 1)}
+            labelled = max(paths.values(), key=lambda v: v[0])[1]
+            content = int(sum(s for s, y in zip(sizes, labelled) if y))
+        assert (rows[r.doc_id].content_words, rows[r.doc_id].kept) == (content, not rows[r.doc_id].base_failed and content >= 0.5 * n)
+
+
+def test_site_query_against_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF2}/documents.parquet"), spark.read.parquet(f"{SF2}/labels.parquet")
+    tree = F.concat_ws("/", F.lit(""), "lang", (F.col("doc_id") % 3).cast("string"), F.when(F.col("doc_id") % 5 > 1, (F.col("doc_id") % 2).cast("string")), F.lit("deep"))
+    for path in (F.concat_ws("/", F.lit(""), "lang"), tree):
+        rows = hostbayes.site_quality(docs, labels, F.col("source"), path).collect()
+        where = {r.doc_id: (r.source, *[x for x in r.path.split("/") if x][:3]) for r in docs.select("doc_id", "source", path.alias("path")).collect()}
+        p = {r.doc_id: r.evidence for r in rows}
+        mean = np.mean(list(p.values()))
+        up, strong = {}, []
+        for k in range(4):
+            own = {}
+            for i, key in where.items():
+                if len(key) > k:
+                    own.setdefault(key[: k + 1], []).append(p[i])
+            parent = {g: up.get(g[:-1], mean) for g in own}
+            n = sum(map(len, own.values()))
+            strong.append(hostbayes.strength(n, len(own), sum(len(v) ** 2 for v in own.values()), sum(len(v) * (np.mean(v) - parent[g]) ** 2 for g, v in own.items()), sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in own.values())))
+            up |= {g: (sum(v) + strong[k] * parent[g]) / (len(v) + strong[k]) for g, v in own.items()}
+        sums = {}
+        for i, key in where.items():
+            for k in range(len(key)):
+                n, s = sums.get(key[: k + 1], (0, 0.0))
+                sums[key[: k + 1]] = (n + 1, s + p[i])
+        for r in rows:
+            post = mean
+            for k in range(len(where[r.doc_id])):
+                n, s = sums[where[r.doc_id][: k + 1]]
+                post = (s - p[r.doc_id] + strong[k] * post) / (n - 1 + strong[k])
+            q = p[r.doc_id] / (1 - p[r.doc_id]) * post / (1 - post) * (1 - mean) / mean
+            assert abs(post - r.path_posterior) < 2e-4 and abs(q / (1 + q) - r.quality) < 2e-3
+
+
 def test_viterbi_against_brute_force():
     import itertools
 
