@@ -177,9 +177,10 @@ def test_posteriors_shrink(spark):
 
 def brute_licenses(rows):
     families, names, w, b, heat, bound = licenses.model()
+    telling, common = licenses.templates(families)
     out = []
     for i, text in rows:
-        for n, line in enumerate((text or "").split("\n")):
+        for n, line in enumerate(licenses.split(text)):
             if not re.search(licenses.GATE, line.lower()):
                 continue
             z = licenses._logits([licenses.features(line)], names, w, b)
@@ -187,14 +188,35 @@ def brute_licenses(rows):
             k = int(p.argmax())
             if families[k] == licenses.NONE:
                 continue
-            three = set(licenses.grams(licenses.tokens(line), 3))
-            own = {g for t in licenses.NOTICES[families[k]] for g in licenses.grams(licenses.tokens(t), 3)}
-            like = len(three & own) / min(len(three), len(own)) if three else 0.0
+            like = licenses.likeness(line, telling[families[k]], common)
             sure = p[k] >= bound and like >= licenses.MIN_SIMILARITY
             out.append((i, n, families[k] if sure else licenses.UNKNOWN, round(float(p[k]), 4), round(like, 4)))
     return out
 
 
+def test_license_families(spark):
+    """Sentences that no training text is: families that look alike are told apart, and strange ones are unknown."""
+    known = {
+        "This package is released under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including the warranties of merchantability.": "MIT",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "Our code is distributed under the ISC license": "ISC",
+        "Made available under the Eclipse Public License 2.0 since last year": "EPL-2.0",
+        "The pictures are licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND",
+        "The texts: Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA",
+        "This file is licensed under the GNU General Public License, version 2, and nothing else.": "GPL-2.0",
+        "We give it to you under the CC0 1.0 Universal dedication, a public domain dedication": "CC0-1.0",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.": "ISC",
+    }
+    strange = ["Licensed under the European Union Public Licence 1.2", "Released under the Open Software License 3.0.", "under the SIL Open Font License, Version 1.1", "Licensed under terms of our own making, warranty void"]
+    rows = list(enumerate([*known, *strange]))
+    got = {r.doc_id: r.family for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = {t: got.get(i) for i, t in rows}
+    assert not any("ffero" in t and (f or "").startswith(("GPL", "LGPL")) for t, f in told.items())
+    assert sum(told[t] == f for t, f in known.items()) >= len(known) - 1 and all(told[t] in (f, "unknown") for t, f in known.items())
+    assert all(told[t] in (None, "unknown") for t in strange)
+
+
 def test_licenses(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF2}/documents.parquet").where("lower(text) like '%licen%' or lower(text) like '%copyright%' or lower(text) like '%reserved%'").collect()]
     rows += [(-1, "Licensed under the Apache License, Version 2.0.\nHe has a license.\n\nAll rights reserved by Tim.\nLicensed under terms of our own making, warranty void"), (-2, None), (-3, ""), (-4, "copyright " * 5000)]
