@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.sources.files import fingerprint_changed
+from tarn.sources.store import upsert
 
 
 def detect_changes(snapshot: DataFrame, catalog: DataFrame, force_hash: bool = False) -> DataFrame:
@@ -192,3 +193,85 @@ def clean(store, action: str, now: Column | None = None, confirmed: bool = False
 
 def numbered(rows: DataFrame, by: str, *order: Column) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The payload cache with new entries (namespace, path, content_hash, version, payload, created_at) in place of those of their files."""
+    return upsert(cache, new, ["namespace", "path"])
+
+
+def cache_fresh(cache: DataFrame, files: DataFrame, namespace: str, version: str) -> DataFrame:
+    """(path, payload) of the files whose entry is of their present content and of this version."""
+    own = cache.where((F.col("namespace") == namespace) & (F.col("version") == version))
+    return own.join(files.select("path", "content_hash"), ["path", "content_hash"], "left_semi").select("path", "payload")
+
+
+def cache_remove(cache: DataFrame, gone: DataFrame) -> DataFrame:
+    return cache.join(gone.select("path"), "path", "left_anti")
+
+
+def cache_cleaned(cache: DataFrame, files: DataFrame, versions: dict[str, str], now: Column) -> DataFrame:
+    """The cache without entries that expired, whose file is gone, or of another version than their namespace's."""
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in versions.items() for x in kv]), F.col("namespace"))
+    return expire(cache, now).join(files.select("path"), "path", "left_semi").where(F.col("version") == F.coalesce(known, F.col("version")))
+
+
+def listed_sources(sources: DataFrame, active: bool = False) -> DataFrame:
+    """Sources that were not removed, newest first; or the active ones alone."""
+    rows = sources.where(F.col("source_status") == "active") if active else sources.where(F.col("source_status") != "removed")
+    return rows.orderBy(F.col("created_at").desc(), "source_id")
+
+
+def set_source_status(sources: DataFrame, ids: list[str], status: str) -> DataFrame:
+    return sources.withColumn("source_status", F.when(F.col("source_id").isin(ids), status).otherwise(F.col("source_status")))
+
+
+def touch_scanned(sources: DataFrame, ids: list[str], now: Column) -> DataFrame:
+    return sources.withColumn("last_scanned_at", F.when(F.col("source_id").isin(ids), now).otherwise(F.col("last_scanned_at")))
+
+
+def remove_source(store, source_id: str) -> None:
+    """A source and all that refers to it."""
+    names = ("sources", "files", "chunks", "embeddings", "jobs")
+    gone = store.read("sources").where(F.col("source_id") == source_id)
+    links = [("files", "source_id", "sources", "source_id"), ("jobs", "source_id", "sources", "source_id"), ("chunks", "file_id", "files", "file_id"), ("embeddings", "chunk_id", "chunks", "chunk_id")]
+    left = cascade({n: store.read(n) for n in names}, links, "sources", gone, "source_id")
+    # children first, so what is left refers to nothing that is gone
+    for n in reversed(names):
+        store.replace(n, left[n])
+
+
+def clean_snippets(store) -> None:
+    clean(store, "clear_snippet_cache")
+
+
+def clean_search_cache(store) -> None:
+    clean(store, "clear_expired_search_cache")
+
+
+def reset(store) -> None:
+    """Everything goes; the caller has asked."""
+    clean(store, "reset_catalog", confirmed=True)
+
+
+def app_info() -> dict[str, str]:
+    import pyspark
+
+    return {"app": "tarn", "spark": pyspark.__version__}
+
+
+def platform_info() -> dict[str, str]:
+    import platform
+
+    return {"os": platform.system().lower(), "arch": platform.machine(), "python": platform.python_version()}
+
+
+# What a diagnostics bundle has and has not.
+INCLUDED = ("App version", "Platform summary", "Folder status counts", "Search preparation status", "Model readiness", "Redacted logs")
+EXCLUDED = ("Documents", "Search words", "Raw folder paths")
+
+
+def bundle_preview(folder_names: bool = False) -> str:
+    """What a user is shown before diagnostics are shared."""
+    own = [f"  ✓ {x}" for x in INCLUDED] + ["  ✓ Folder names (opted in)"] * folder_names
+    return "\n".join(["Included:", *own, "", "Not included:", *(f"  × {x}" for x in EXCLUDED)])

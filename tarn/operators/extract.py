@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import extension, normalize
+from tarn.operators import pdf
 from tarn.session import ship_package
 from tarn.sources.schema import EXTRACT
 
 
+# The limits.
 @dataclass(frozen=True)
 class Limits:
     """Bounds of one extraction."""
@@ -30,6 +32,7 @@ class Limits:
     html_bytes: int = 32 << 20
 
 
+# The extractors' order and extensions.
 TEXT_EXTENSIONS = ("txt", "log", "csv", "rs", "py", "js", "ts", "jsx", "tsx", "java", "c", "h", "cpp", "hpp", "go", "rb", "php", "sh", "bash", "sql", "toml", "yaml", "yml", "json", "xml", "css", "html", "htm")
 ROUTES = (("markdown", ("md", "markdown")), ("docx", ("docx",)), ("html", ("html", "htm")), ("text", TEXT_EXTENSIONS), ("pdf", ("pdf",)))
 CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
@@ -209,17 +212,72 @@ def _docx(content: bytes, limits: Limits) -> list[dict]:
     return [_segment("paragraph", t, i, i, "blocks", exact=False) for i, t in enumerate((t for t in texts if t.strip()), 1)]
 
 
+def _pdf(content: bytes, limits: Limits, warnings: list[dict]) -> list[dict]:
+    """A segment for each page with text. Pages that cannot be read, a cut at the page limit and a file without any text are warnings."""
+    try:
+        doc = pdf.Pdf(content, limits.file_bytes)
+        pages = doc.pages()
+    except pdf.Encrypted as e:
+        raise Failure("encrypted_document", str(e)) from None
+    except ValueError as e:
+        raise Failure("parser_error", str(e)) from None
+    if len(pages) > limits.pages:
+        warnings.append({"kind": "size_limit_reached", "limit_name": "max_pdf_pages"})
+    out, bad = [], []
+    for n, page in enumerate(pages[: limits.pages], 1):
+        try:
+            text = clean(doc.text(page))
+        except (ValueError, IndexError):
+            bad.append(n)
+            continue
+        if text.strip():
+            out.append(_segment("other", text, n, n, "pages", f"Page {n}") | {"location_quality": "page_only"})
+    if bad:
+        warnings.append({"kind": "some_pages_unreadable", "pages": bad})
+    if pages and not out:
+        warnings.append({"kind": "possibly_scanned_pdf"})
+    return out
+
+
+def read_error(e: OSError) -> str:
+    """Category of a read that failed."""
+    return "permission_denied" if isinstance(e, PermissionError) else "source_missing" if isinstance(e, FileNotFoundError) else "read_error"
+
+
+def read_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` with ``content`` and ``read_error``, null where the read went well; one file that fails fails no other."""
+
+    @F.pandas_udf("content binary, read_error string")
+    def run(paths: pd.Series) -> pd.DataFrame:
+        import pyarrow.fs
+
+        def one(p: str | None) -> tuple[bytes | None, str | None]:
+            try:
+                system, at = pyarrow.fs.FileSystem.from_uri(p if p and "://" in p else f"file://{p or ''}")
+                with system.open_input_file(at) as f:
+                    return f.read(), None
+            except OSError as e:
+                return None, read_error(e)
+
+        return pd.DataFrame([one(p) for p in paths], columns=["content", "read_error"])
+
+    ship_package(files.sparkSession)
+    return files.withColumn("_read", run(F.col(path))).withColumn("content", F.col("_read.content")).withColumn("read_error", F.col("_read.read_error")).drop("_read")
+
+
 def extract_one(name: str | None, content: bytes | None, limits: Limits = Limits()) -> dict:
     """What one file gives; an error is a value with a category, never an exception."""
     out = {"extractor_name": name, "extractor_version": "1", "segments": [], "char_count": 0, "warnings": [], "error_category": None, "message": None}
     try:
-        if name is None or name == "pdf":
+        if name is None:
             raise Failure("unsupported_type", "no extractor for this type here")
         content = content or b""
         if len(content) > (limits.html_bytes if name == "html" else limits.file_bytes):
             raise Failure("file_too_large", f"file is {len(content)} bytes")
         if name == "docx":
             segments = _docx(content, limits)
+        elif name == "pdf":
+            segments = _pdf(content, limits, out["warnings"])
         elif name == "html":
             blocks = [(k, clean(t), h) for k, t, h in html_blocks(_decode(content))]
             segments = [_segment(k, t, i, i, "blocks", h, False) for i, (k, t, h) in enumerate(blocks, 1) if t.strip()]
@@ -251,8 +309,8 @@ def extract(files: DataFrame, path: str = "path", content: str = "content", limi
         return pd.DataFrame([one(n, b) for n, b in zip(name, body)], columns=["extractor_name", "extractor_version", "segments", "char_count", "warnings", "error_category", "message"])
 
     rows = files.withColumn("extractor", F.coalesce(route(F.col(path)), F.lit("none")))
-    known = rows.where(F.col("extractor").isin(*[n for n, _ in ROUTES if n != "pdf"], *own))
-    other = rows.where(~F.col("extractor").isin(*[n for n, _ in ROUTES if n != "pdf"], *own))
+    known = rows.where(F.col("extractor").isin(*[n for n, _ in ROUTES], *own))
+    other = rows.where(~F.col("extractor").isin(*[n for n, _ in ROUTES], *own))
     refused = F.struct(F.col("extractor").alias("extractor_name"), F.lit("1").alias("extractor_version"), F.array().alias("segments"), F.lit(0).alias("char_count"), F.array().alias("warnings"), F.lit("unsupported_type").alias("error_category"), F.lit("no extractor for this type here").alias("message"))
     return known.withColumn("extracted", run("extractor", F.col(content).cast("binary"))).unionByName(other.withColumn("extracted", refused.cast(EXTRACT)))
 

@@ -19,6 +19,7 @@ KINDS = {
     "spreadsheets": ("csv", "xlsx", "xls", "ods"),
 }
 CHANGED = {"any": None, "today": "day", "this_week": "week", "this_month": "month", "this_year": "year"}
+# Warnings that degrade a result.
 DEGRADING = ("some_pages_unreadable", "possibly_scanned_pdf", "size_limit_reached", "unsupported_document_part", "malformed_content_recovered")
 
 

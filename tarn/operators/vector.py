@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,80 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.vectors import dequantize, dot, l2_normalize, quantize
+from tarn.functions.vectors import dequantize, dot, hashed_chars, l2_normalize, mock_embedding, quantize
 from tarn.session import ship_package
 from tarn.sources.store import upsert
 
-#: Queries whose vectors go to every task at once; more are taken in blocks of so many.
-BLOCK = 4_096
+#: Queries whose vectors go to every task at once, and those that one matrix product takes; more queries need another scan.
+BLOCK, STEP = 65_536, 4_096
+
+
+class BackendMissing(RuntimeError):
+    """An embedding backend is not there; search goes on by keywords."""
+
+
+@dataclass(frozen=True)
+class EmbeddingModel:
+    """What an embedding model is to the engine: a name, a version, a dimension and a column function."""
+
+    name: str
+    version: str
+    dimension: int
+    embed: Callable[[Column], Column]
+
+    @property
+    def model_id(self) -> str:
+        return f"{self.name}_{self.version}"
+
+
+# The recommended model.
+RECOMMENDED = {"name": "multilingual-e5-small", "version": "v1", "dimension": 384, "max_tokens": 512}
+BACKENDS = {"mock": EmbeddingModel("mock", "mock-v1", 8, mock_embedding), "hashed": EmbeddingModel("hashed", "v1", 8, hashed_chars)}
+
+
+def model(config: dict) -> EmbeddingModel:
+    """The model that ``backend`` of a configuration names."""
+    if (name := config.get("backend", "mock")) not in BACKENDS:
+        raise BackendMissing(f"no embedding backend {name}: search by keywords, or register one in BACKENDS")
+    return BACKENDS[name]
+
+
+def backend(config: dict) -> Callable[[Column], Column]:
+    return model(config).embed
+
+
+def embed_chunks(chunks: DataFrame, texts: DataFrame, own: EmbeddingModel) -> DataFrame:
+    """(chunk_id, model_id, format, dimension, vector, status) of active chunks; ``texts`` has file_id and the file's whole ``text``.
+
+    A chunk's text is its heading path, if it has one, and the whole text of its file.
+    """
+    live = chunks.where(F.col("chunk_status") == "active").select("chunk_id", "file_id", "heading_path").join(texts.select("file_id", "text"), "file_id")
+    vectors = live.select("chunk_id", own.embed(F.concat_ws("\n", "heading_path", "text")).cast("array<float>").alias("vector"))
+    return vectors.select("chunk_id", F.lit(own.model_id).alias("model_id"), F.lit("fp32").alias("format"), F.lit(own.dimension).alias("dimension"), "vector", F.lit("active").alias("status"))
+
+
+def register(models: DataFrame, new: DataFrame) -> DataFrame:
+    """The registry with new models, or new data of known ones."""
+    return upsert(models, new, ["model_id"])
+
+
+def by_role(models: DataFrame, role: str) -> DataFrame:
+    return models.where(F.col("role") == role)
+
+
+def set_model_status(models: DataFrame, ids: list[str], status: str) -> DataFrame:
+    return models.withColumn("status", F.when(F.col("model_id").isin(ids), status).otherwise(F.col("status")))
+
+
+def validated(models: DataFrame, present: DataFrame) -> DataFrame:
+    """Models with the status that their files give: missing, invalid (another dimension than ``expected_dimension``) or available.
+
+    ``present`` has the paths that exist and, or null, the dimension that is expected.
+    """
+    there = present.select(F.col("path").alias("_path"), F.col("expected_dimension").cast("int").alias("_expected"))
+    joined = models.join(there, F.col("path") == F.col("_path"), "left")
+    other = F.coalesce(F.col("_expected") != F.col("dimension"), F.lit(False))
+    return joined.withColumn("status", F.when(F.col("_path").isNull(), "missing").when(other, "invalid").otherwise("available")).drop("_path", "_expected")
 
 
 def top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
@@ -30,8 +99,8 @@ def top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int)
 def top_k_batch(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_id: str, query: str, k: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
     """(query_id, key, score, rank): every query against all vectors, by matrix products.
 
-    Queries are dealt to blocks of a bounded size; a block's vectors go to every task, which returns
-    its k best for each query, so k rows for each query and task are shuffled and not all scores. ``digits`` rounds scores before they are compared.
+    Queries are dealt to blocks of a bounded size; a block's vectors go to every task, which takes ``STEP`` of them at a time against each batch and returns
+    its k best for each query, so k rows for each query and task are shuffled and not all scores. One scan serves ``BLOCK`` queries. ``digits`` rounds scores before they are compared.
     """
     ship_package(vectors.sparkSession)
     own = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("query"))
@@ -41,30 +110,33 @@ def top_k_batch(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
     parts = None
     for b in range(blocks):
         rows = dealt.where(F.col("block") == b).orderBy("query_id").toArrow()
-        part = _block(vectors, key, vector, rows, k, digits)
+        part = _block(vectors, key, vector, rows, own.schema["query_id"].dataType.simpleString(), k, digits)
         parts = part if parts is None else parts.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key).asc())
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, k: int, digits: int | None) -> DataFrame:
+def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, id_type: str, k: int, digits: int | None) -> DataFrame:
     ids, lists = rows["query_id"].to_pylist(), rows["query"].to_pylist()
     sizes = sorted({len(v) for v in lists if v is not None})
     mats = {d: (np.array([i for i, v in zip(ids, lists) if v is not None and len(v) == d]), np.array([v for v in lists if v is not None and len(v) == d], dtype=np.float64)) for d in sizes}
+    mats = {(d, i): (who[i : i + STEP], q[i : i + STEP]) for d, (who, q) in mats.items() for i in range(0, len(who), STEP)}
     held = vectors.sparkSession.sparkContext.broadcast(mats)
     key_type = vectors.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             col = batch.column(1)
             width = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), -1))
-            for d, (_, q) in held.value.items():
-                at = np.flatnonzero(width == d)
+            rows = {d: np.flatnonzero(width == d) for d in {d for d, _ in held.value}}
+            mats_x = {d: np.asarray(col.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, d) for d, at in rows.items() if len(at)}
+            for (size, i), (_, q) in held.value.items():
+                at, d = rows[size], (size, i)
                 if not len(at):
                     continue
-                x = np.asarray(col.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, d)
+                x = mats_x[size]
                 s, who = q @ x.T if digits is None else np.round(q @ x.T, digits), np.broadcast_to(keys[at], (len(q), len(at)))
                 if d in best:
                     s, who = np.concatenate([best[d][0], s], axis=1), np.concatenate([best[d][1], who], axis=1)
@@ -73,7 +145,6 @@ def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, k: int, di
         for d, (s, who) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(held.value[d][0], s.shape[1])), pa.array(who.ravel()), pa.array(s.ravel())], names=["query_id", key, "score"])
 
-    id_type = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}[rows.schema.field("query_id").type]
     return vectors.select(key, vector).mapInArrow(run, f"query_id {id_type}, `{key}` {key_type}, score double")
 
 

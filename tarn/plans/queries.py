@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from tarn.plans.adapters import FILES, JOBS, files
 from tarn.plans.adapters import jobs as job_table
 from tarn.plans.registry import query, table
 from tarn.plans.search import SearchEngine
+from tarn.session import work_folder
 from tarn.sources import files as fs
 from tarn.sources.report import synthetic_corpus
 from tarn.sources.store import upsert
@@ -101,11 +105,31 @@ term AS (SELECT query_id, 0 AS phrase, 0 AS off, w[1] AS token, 2 AS n_tokens, 2
          SELECT query_id, 0, 1, w[2], 2, 2 FROM w UNION ALL SELECT query_id, 1, 0, w[6], 1, 2 FROM w)"""
 
 
+_indexes: dict[tuple, keyword.KeywordIndex] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, kind: str = "words", key: str = "doc_id", fresh: bool = False, name: str = "documents") -> keyword.KeywordIndex:
+    """The postings of a table's texts, built once for each application and set of files."""
+    source = table(spark, sf_dir, name)
+    at = (spark.sparkContext.applicationId, tuple(sorted(source.inputFiles())), kind, key)
+    if fresh or at not in _indexes:
+        out = keyword.KeywordIndex(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}", key)
+        first = source.columns[0]
+        out.add(source.select(F.col(first).cast("string" if key == "chunk_id" else "bigint").alias(key), "text"), {"text": F.col("text")}, (kind,))
+        _indexes[at] = out
+    return _indexes[at]
+
+
 def word_search(spark: SparkSession, sf_dir: str, queries: DataFrame, limit: int) -> DataFrame:
-    d = docs(spark, sf_dir)
-    body = {"text": F.col("text")}
-    scores = keyword.bm25(keyword.postings(d, "doc_id", body), keyword.lengths(d, "doc_id", body), keyword.phrases(queries, "query_id", "query"), "doc_id")
-    return keyword.ranked(scores.withColumn("score", F.round("score", 9)), "doc_id", limit)
+    return index_of(spark, sf_dir).search(queries, limit)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({DOC_WORDS}) AS token FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS token FROM documents WHERE length(text) >= 3)
+SELECT 'words' AS kind, count(*) AS postings, count(DISTINCT token) AS tokens, count(DISTINCT doc_id) AS docs FROM w UNION ALL SELECT 'grams', count(*), count(DISTINCT token), count(DISTINCT doc_id) FROM g""")
+def k2_index_build(spark, sf_dir):
+    """Builds both kinds of postings anew."""
+    out = [index_of(spark, sf_dir, kind, fresh=True).postings(kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("postings"), F.count_distinct("token").alias("tokens"), F.count_distinct("doc_id").alias("docs")) for kind in ("words", "grams")]
+    return out[0].union(out[1])
 
 
 def one_query(spark: SparkSession, text: str) -> DataFrame:
@@ -140,17 +164,43 @@ def k4_bm25_batch(spark, sf_dir):
     return rounded(word_search(spark, sf_dir, asked(spark, sf_dir), 10)).select("query_id", "rank", "doc_id", "score")
 
 
-@query()
+GRAMS = "list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr(lower({0}), i, 3))"
+
+
+def grams_of(*terms: str) -> list[list[str]]:
+    return [[t[i : i + 3] for i in range(len(t) - 2)] for t in terms]
+
+
+@query(top_sql(terms_sql(*grams_of("icense", "ersion")), 20).replace(DOC_WORDS, GRAMS.format("text")))
 def k7_trigram_search(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return rounded(keyword.search(d, one_query(spark, "icense ersion"), "doc_id", {"text": F.col("text")}, 20, tx.trigrams)).drop("query_id")
+    return rounded(index_of(spark, sf_dir, "grams").search(one_query(spark, "icense ersion"), 20, "grams")).drop("query_id")
 
 
-@query()
+#: Documents with a Japanese line in each seventh.
+CJK_LINE = " 認証トークンの更新と認証 ERR-4042"
+CJK_DOCS = f"(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '{CJK_LINE}' ELSE text END AS text FROM documents)"
+
+
+def routed_sql() -> str:
+    """Queries 0 (CJK) by words and trigrams, 1 (ASCII) by words alone."""
+    def side(name: str, toks: str, rows: list[str]) -> str:
+        out = BM25.replace(DOC_WORDS, toks).replace("FROM documents", f"FROM {CJK_DOCS}")
+        for cte in ("doc", "st", "post", "hit", "freq", "df", "idf", "scored", "ranked", "term"):
+            out = re.sub(rf"\b{cte}\b(?= AS \(|\b(?! AS toks))", f"{name}_{cte}", out)
+        return f"{name}_term AS (SELECT * FROM (VALUES {', '.join(rows)}) t(query_id, phrase, off, token, n_tokens, n_phrases)), {out}"
+
+    words = [(0, 0, 0, "認証トークン", 1, 2), (0, 1, 0, "err", 2, 2), (0, 1, 1, "4042", 2, 2), (1, 0, 0, "err", 2, 1), (1, 0, 1, "4042", 2, 1)]
+    grams = [(0, p, o, g, len(gs), 2) for p, gs in enumerate(grams_of("認証トークン", "err-4042")) for o, g in enumerate(gs)]
+    return f"""WITH {side("w", DOC_WORDS, [str(r) for r in words])}, {side("g", GRAMS.format("text"), [str(r) for r in grams])},
+united AS (SELECT query_id, doc_id, score FROM w_ranked WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, score FROM g_ranked g WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM w_ranked w WHERE w.rank <= 10 AND w.query_id = g.query_id AND w.doc_id = g.doc_id))
+SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM united) WHERE rank <= 10"""
+
+
+@query(routed_sql())
 def k10_cjk_routing(spark, sf_dir):
-    corpus = synthetic_corpus(spark, 80)
-    asked = spark.createDataFrame([(0, "認証トークン"), (1, "token ERR-4042"), (2, "認証 ERR-4042")], "query_id long, query string")
-    return rounded(keyword.routed(corpus, asked, "name", {"text": F.col("text")}, 10))
+    d = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(CJK_LINE))).otherwise(F.col("text")).alias("text"))
+    asked = spark.createDataFrame([(0, "認証トークン ERR-4042"), (1, "ＥＲＲ-4042")], "query_id long, query string")
+    return rounded(keyword.routed(d, asked, "doc_id", {"text": F.col("text")}, 10))
 
 
 @query("SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(" + DOC_WORDS + ") AS token FROM documents WHERE doc_id % 10 <> 3) GROUP BY doc_id, token")
@@ -327,13 +377,27 @@ def h7_h8_display_path(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", tx.short_path(F.col("path")).alias("display_path"), tx.title(F.lit(None).cast("string"), F.col("path")).alias("title"))
 
 
-@query()
+def searched_sql() -> str:
+    base = fused_sql(100, 100, 50).replace("(SELECT doc_id, list_transform(r,", "(SELECT CAST(doc_id AS VARCHAR) AS doc_id, list_transform(r,")
+    base = base.replace(f"doc AS (SELECT doc_id, {DOC_WORDS}", f"doc AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {DOC_WORDS}")
+    lines = "string_split(f.text, chr(10))"
+    return f"""WITH {FILES}, found AS ({base}),
+rich AS (SELECT q.*, f.path, f.file_status, left(array_to_string({lines}[1:8], chr(10)), 400) AS snippet FROM found q JOIN files f ON CAST(f.doc_id AS VARCHAR) = q.doc_id WHERE q.rank <= 10),
+again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY octet_length(encode(snippet)) DESC, rank) AS place FROM rich)
+SELECT query_id, CAST(place AS INTEGER) AS rank, doc_id AS chunk_id, '…/' || string_split(path, '/')[4] || '/' || string_split(path, '/')[5] AS display_path, string_split(path, '/')[5] AS title, snippet, rrf,
+CASE WHEN keyword_rank IS NULL THEN 'Semantic' WHEN vector_rank IS NULL THEN 'Keyword' ELSE 'Keyword,Semantic' END AS badges, {TRUST} AS trust_state FROM again"""
+
+
+TRUST = "CASE WHEN file_status IN ('indexed', 'unsupported') THEN 'ready' WHEN file_status = 'stale' THEN 'needs_update' WHEN file_status IN ('missing', 'deleted') THEN 'file_not_found' WHEN file_status = 'discovered' THEN 'still_being_prepared' WHEN file_status = 'permission_denied' THEN 'cannot_open' ELSE 'partly_prepared' END"
+
+
+@query(searched_sql())
 def h4_h9_search_results(spark, sf_dir):
     """The facade from query to results: enrichment, snippets, badges and trust, for all labelled queries."""
     f = files(spark, sf_dir).withColumn("modified_at", F.lit(None).cast("timestamp"))
     chunks = f.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit(None).cast("string").alias("heading_path"), F.lit("").alias("title"), F.col("text").alias("normalized_text"), F.lit(1).alias("line_start"), F.lit(8).alias("line_end"), F.lit("active").alias("chunk_status"))
     vectors = chunks.select("chunk_id", vx.mock_embedding(F.col("normalized_text")).alias("vector"))
-    engine = SearchEngine(chunks, f.withColumnRenamed("doc_id", "file_id"), vectors, vx.mock_embedding, lambda s: F.octet_length(s).cast("double"))
+    engine = SearchEngine(chunks, f.withColumnRenamed("doc_id", "file_id"), vectors, vx.mock_embedding, lambda s: F.octet_length(s).cast("double"), index_of(spark, sf_dir, key="chunk_id"))
     out = engine.search(asked(spark, sf_dir), "auto", 10)
     return out.select("query_id", "rank", "chunk_id", "display_path", "title", "snippet", F.round("rrf", 6).alias("rrf"), F.array_join("badges", ",").alias("badges"), "trust_state")
 
@@ -342,7 +406,7 @@ def h4_h9_search_results(spark, sf_dir):
 def h12_keyword_only(spark, sf_dir):
     d = files(spark, sf_dir).withColumn("modified_at", F.lit(None).cast("timestamp"))
     chunks = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit("").alias("heading_path"), F.lit("").alias("title"), F.col("text").alias("normalized_text"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("active").alias("chunk_status"))
-    engine = SearchEngine(chunks, d.withColumnRenamed("doc_id", "file_id"))
+    engine = SearchEngine(chunks, d.withColumnRenamed("doc_id", "file_id"), index=None)
     found = engine.keyword_candidates(one_query(spark, "license"), 20)
     return rounded(found).select("rank", F.col("chunk_id").alias("doc_id"), "score", F.lit(engine.capability).alias("capability"))
 
@@ -613,9 +677,12 @@ FOUND = f"{ASKED_TERMS}, {BM25}, found AS (SELECT query_id, doc_id, rank FROM ra
 def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results with ``relevant``, truth, queries): documents that hold an item are relevant to its query."""
     q = asked(spark, sf_dir)
-    # the labelled items are a fixed test set; each block of them meets every document once
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    truth = docs(spark, sf_dir).join(items, F.contains("text", "item")).select("query_id", "doc_id").distinct()
+    # a document that holds an item holds its first words, as a phrase: only those documents are compared
+    first = F.array_join(F.slice(tx.tokens(F.col("item")), 2, 6), "-")
+    terms = keyword.phrases(items.select("query_id", first.alias("query")), "query_id", "query")
+    maybe = keyword.matches(index_of(spark, sf_dir).postings("words", terms), terms, "doc_id")
+    truth = maybe.join(items, "query_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id").distinct()
     found = word_search(spark, sf_dir, q, 10).join(truth.withColumn("hit", F.lit(True)), ["query_id", "doc_id"], "left").withColumn("relevant", F.coalesce("hit", F.lit(False)))
     return found, truth, q
 
@@ -737,7 +804,6 @@ def j3_set_status(spark, sf_dir):
 # --- filters ---------------------------------------------------------------------------------
 
 KIND = "CASE WHEN ext IN ('md', 'txt') THEN 'notes' WHEN ext = 'pdf' THEN 'pdfs' WHEN ext = 'csv' THEN 'spreadsheets' WHEN ext = 'py' THEN 'code' END"
-TRUST = "CASE WHEN file_status IN ('indexed', 'unsupported') THEN 'ready' WHEN file_status = 'stale' THEN 'needs_update' WHEN file_status IN ('missing', 'deleted') THEN 'file_not_found' WHEN file_status = 'discovered' THEN 'still_being_prepared' WHEN file_status = 'permission_denied' THEN 'cannot_open' ELSE 'partly_prepared' END"
 
 
 @query(f"WITH {FILES} SELECT doc_id, {KIND} AS kind FROM (SELECT doc_id, string_split(path, '.')[2] AS ext FROM files)")
@@ -787,6 +853,9 @@ def f10_results_state(spark, sf_dir):
     return docs(spark, sf_dir).select(d, filters.results_state(d % 4, d % 2).alias("state"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '\\?') THEN regexp_replace(url, '\\?[^ ]+', '?<redacted query>') ELSE url END AS redacted FROM pages")
+@query("SELECT page_id, 'see <home>/x and ' || regexp_replace(url, '\\?[^ ]+', '?<redacted query>') || ' or <folder>/' || CAST(page_id AS VARCHAR) || '.txt' AS redacted FROM pages")
 def f12_redaction(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"\?[^\s\"']+", "?<redacted query>").alias("redacted"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.redact(F.concat(F.lit("see /home/me/x and "), F.col("url"), F.lit(" or /srv/data/"), F.col("page_id").cast("string"), F.lit(".txt")), "/home/me").alias("redacted"))
+
+
+import tarn.plans.workflows  # noqa: E402, F401  its queries are registered, too

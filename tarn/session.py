@@ -30,3 +30,19 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     n = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores) if 0 < n < cores else df
+
+
+_folders: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder that all executors share, under ``spark.checkpoint.dir``; a local one where that is unset and the session is local."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tarn-work-")
+        _folders[app] = f"{base.rstrip('/')}/tarn-core-{app}"
+    return _folders[app]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,7 @@ from tarn.functions.text import extension, file_name
 
 # Default excludes, supported extensions, sensitive places.
 DEFAULT_EXCLUDES = (".git", "node_modules", "target", "dist", "build", ".cache", ".venv", "__pycache__")
-DOCUMENT_EXTENSIONS = ("txt", "log", "md", "markdown", "html", "htm", "pdf", "docx", "csv")
-CODE_EXTENSIONS = ("rs", "py", "js", "ts", "jsx", "tsx", "java", "c", "h", "cpp", "hpp", "go", "rb", "php", "sh", "bash", "sql", "toml", "yaml", "yml", "json", "xml", "css")
+EXTENSIONS = ("txt", "log", "md", "markdown", "html", "htm", "pdf", "docx", "csv", "rs", "py", "js", "ts", "jsx", "tsx", "java", "c", "h", "cpp", "hpp", "go", "rb", "php", "sh", "bash", "sql", "toml", "yaml", "yml", "json", "xml", "css")
 SYSTEM_PREFIXES = ("/etc", "/usr", "/bin", "/sbin", "/boot", "/proc", "/sys")
 CREDENTIAL_FOLDERS = (".ssh", ".gnupg", ".aws", ".azure", ".kube", ".docker", ".password-store", ".mozilla", ".thunderbird")
 
@@ -52,7 +52,7 @@ def has_hidden_component(path: Column) -> Column:
 
 
 def type_class(path: Column) -> Column:
-    return F.when(extension(path).isin(*DOCUMENT_EXTENSIONS, *CODE_EXTENSIONS), "supported").otherwise("unsupported")
+    return F.when(extension(path).isin(*EXTENSIONS), "supported").otherwise("unsupported")
 
 
 def sensitive_warning(path: Column) -> Column:
@@ -75,20 +75,60 @@ def guard(path: Column, roots: list[str], policy: ScanPolicy, size: Column) -> C
     return out.when(size > policy.max_bytes, "file_too_large") if policy.max_bytes is not None else out
 
 
-def scan_folder(spark: SparkSession, root: str, policy: ScanPolicy = ScanPolicy(), source_id: str = "source", content: bool = False) -> DataFrame:
+class PathRefused(ValueError):
+    """A path that may not be read, and why."""
+
+
+def validated_path(path: str, roots: list[str], policy: ScanPolicy = ScanPolicy(), follow_links: bool = False) -> str:
+    """The canonical form of a local path, as the driver sees it; raises ``PathRefused`` outside the roots, behind a link, hidden or too large."""
+    real = os.path.realpath(path)
+    root = next((r for r in map(os.path.realpath, roots) if real == r or real.startswith(r.rstrip("/") + "/")), None)
+    if root is None:
+        raise PathRefused("path_outside_source")
+    asked = os.path.abspath(path)
+    if not follow_links and asked.startswith(root + "/") and linked_below(root, asked):
+        raise PathRefused("symlink_policy_blocked")
+    if not policy.hidden and any(c.startswith(".") for c in os.path.relpath(real, root).split("/") if c != "."):
+        raise PathRefused("hidden_file_excluded")
+    if policy.max_bytes is not None and os.path.isfile(real) and os.path.getsize(real) > policy.max_bytes:
+        raise PathRefused("file_too_large")
+    return real
+
+
+def linked_below(root: str, path: str) -> bool:
+    """Whether a component of a path below the root is a symbolic link."""
+    parts = os.path.relpath(path, root).split("/")
+    return any(os.path.islink(os.path.join(root, *parts[: i + 1])) for i in range(len(parts)))
+
+
+def scan_folder(spark: SparkSession, root: str, policy: ScanPolicy = ScanPolicy(), source_id: str = "source", content: bool = False, follow_links: bool = False) -> DataFrame:
     """(source_id, path, display_path, size_bytes, modified_at[, content, content_hash]) of the admitted files of a folder.
 
-    Contents are read only if asked for: without them the scan is of metadata alone.
+    The folder is listed by its own file system, so names that start with a dot or an underscore are there, as the policy wants; symbolic links are
+    left out unless ``follow_links``. Contents are read, on the executors, only if asked for. A file that can't be read has a null content.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = raw.withColumn("p", F.regexp_replace("path", "^file:/+", "/"))
-    prefix = root.rstrip("/").removeprefix("file://") + "/"
+    base = root.rstrip("/").removeprefix("file://")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    local = system.getUri().getScheme() == "file"
+    rows, files = [], system.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().toUri().getPath() if local else f.getPath().toString()
+        if local and not follow_links and linked_below(base, name):
+            continue
+        rows.append((name, f.getLen(), f.getModificationTime()))
+    raw = spark.createDataFrame(rows, "p string, length bigint, ms bigint")
+    prefix = base + "/"
     display = F.when(F.col("p").startswith(prefix), F.expr(f"substring(p, {len(prefix) + 1})")).otherwise(F.col("p"))
-    rows = base.withColumn("display", display).where(policy.admits(F.col("display"), F.col("length")))
-    out = [F.lit(source_id).alias("source_id"), F.col("p").alias("path"), F.col("display").alias("display_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
+    found = raw.withColumn("display", display).where(policy.admits(F.col("display"), F.col("length")))
+    out = found.select(F.lit(source_id).alias("source_id"), F.col("p").alias("path"), F.col("display").alias("display_path"), F.col("length").alias("size_bytes"), F.timestamp_millis("ms").alias("modified_at"))
     if content:
-        out += [F.col("content"), F.sha2("content", 256).alias("content_hash")]
-    return rows.select(*out)
+        from tarn.operators.extract import read_files
+
+        out = read_files(out).drop("read_error").withColumn("content_hash", F.sha2("content", 256))
+    return out
 
 
 def fingerprint_changed(old_size: Column, old_time: Column, new_size: Column, new_time: Column) -> Column:
@@ -97,8 +137,6 @@ def fingerprint_changed(old_size: Column, old_time: Column, new_size: Column, ne
 
 def path_state(root: str) -> str:
     """active, permission_problem or folder_not_found, as the driver sees a local folder."""
-    import os
-
     if not os.path.isdir(root):
         return "folder_not_found"
     return "active" if os.access(root, os.R_OK | os.X_OK) else "permission_problem"

@@ -1,4 +1,6 @@
-"""Parquet tables with replace-on-success writes: a new version is written whole, then one pointer moves.
+"""Parquet tables with replace-on-success writes: a new version is written whole, then its mark is made.
+
+There is no pointer that could be lost: the highest marked version counts, and appended parts are versions of their own.
 
 Upserts are an anti-join of the old rows with the new ones, joined by a union. One writer at a time.
 """
@@ -27,36 +29,53 @@ class Store:
         self._path = lambda p: path(f"{self.root}/{p}")
         self._fs = path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _version(self, table: str) -> int:
-        p = self._path(f"{table}/CURRENT")
-        if not self._fs.exists(p):
-            return 0
-        stream = self._fs.open(p)
-        try:
-            return int(stream.readLong())
-        finally:
-            stream.close()
+    def _versions(self, table: str) -> list[int]:
+        """Numbers of the whole versions, oldest first."""
+        if not self._fs.exists(self._path(table)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(table))]
+        return sorted(int(n.removesuffix(".whole")) for n in names if n.endswith(".whole"))
+
+    def _part(self, table: str, n: int) -> str:
+        return f"{self.root}/{table}/v{n}"
+
+    def _base(self, table: str) -> tuple[list[int], int]:
+        """(versions that make the table, the last one): the last replacement and what was appended since."""
+        versions = self._versions(table)
+        start = max((n for n in versions if not self._fs.exists(self._path(f"{table}/{n}.append"))), default=0)
+        return [n for n in versions if n >= max(start, 1)], versions[-1] if versions else 0
 
     def read(self, table: str) -> DataFrame:
-        n = self._version(table)
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v{n}") if n else empty(self.spark, table)
+        parts, _ = self._base(table)
+        return self.spark.read.schema(TABLES[table]).parquet(*[self._part(table, n) for n in parts]) if parts else empty(self.spark, table)
+
+    def _write(self, table: str, df: DataFrame, append: bool) -> None:
+        """The next version; it counts once its mark is made, after its rows are whole."""
+        n = self._base(table)[1] + 1
+        df.select(*[F.col(f.name).cast(f.dataType) for f in empty(self.spark, table).schema]).write.mode("overwrite").parquet(self._part(table, n))
+        if append:
+            self._fs.create(self._path(f"{table}/{n}.append"), True).close()
+        else:
+            self._fs.delete(self._path(f"{table}/{n}.append"), False)
+        self._fs.create(self._path(f"{table}/{n}.whole"), True).close()
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """Readers see the old version until the new one is whole."""
-        n = self._version(table)
-        df.select(*[F.col(f.name).cast(f.dataType) for f in empty(self.spark, table).schema]).write.mode("overwrite").parquet(f"{self.root}/{table}/v{n + 1}")
-        side, now = self._path(f"{table}/CURRENT.next"), self._path(f"{table}/CURRENT")
-        stream = self._fs.create(side, True)
-        stream.writeLong(n + 1)
-        stream.close()
-        if n:
-            self._fs.delete(now, False)
-        self._fs.rename(side, now)
-        if n > 1:
-            self._fs.delete(self._path(f"{table}/v{n - 1}"), True)
+        """Readers see the old version until the new one is whole; that and the one before stay, so a reader that began can end."""
+        before = self._base(table)[0]
+        self._write(table, df, False)
+        for n in [n for n in self._versions(table) if before and n < before[0]]:
+            # the mark goes first, so a version is never half
+            self._fs.delete(self._path(f"{table}/{n}.whole"), False)
+            self._fs.delete(self._path(f"{table}/{n}.append"), False)
+            self._fs.delete(self._path(f"{table}/v{n}"), True)
 
     def append(self, table: str, df: DataFrame) -> None:
-        self.replace(table, self.read(table).unionByName(df))
+        """Adds a part; what is there is not written again. ``shrink`` makes one of many."""
+        self._write(table, df, True)
+
+    def shrink(self, table: str, files: int = 1) -> None:
+        """One replacement of few files in place of all parts."""
+        self.replace(table, self.read(table).coalesce(files))
 
     def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
         self.replace(table, upsert(self.read(table), df, keys))

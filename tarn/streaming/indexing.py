@@ -20,14 +20,20 @@ from tarn.sources.files import ScanPolicy
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def index_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, policy: ScanPolicy = ScanPolicy(), files_per_batch: int = 1_000) -> StreamingQuery:
+def index_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, policy: ScanPolicy = ScanPolicy(), files_per_batch: int = 1_000, failures: str | None = None) -> StreamingQuery:
     """Chunks of every new file of a folder, until none is left. A restart goes on from the checkpoint;
-    a batch writes its own folder, so one that is repeated replaces what it wrote."""
+    a batch writes its own folder, so one that is repeated replaces what it wrote. Files that fail are rows
+    (path, file_status, error_category, message) of ``failures``. The policy sees paths below the folder."""
+    prefix = folder.rstrip("/").removeprefix("file://") + "/"
     raw = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
     def batch(df: DataFrame, n: int) -> None:
         rows = df.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-        done = extract(rows.where(policy.admits(file_name(F.col("path")), F.col("length"))))
+        below = F.when(F.col("path").startswith(prefix), F.expr(f"substring(path, {len(prefix) + 1})")).otherwise(F.col("path"))
+        done = extract(rows.where(policy.admits(below, F.col("length"))))
+        if failures:
+            bad = done.where(F.col("extracted.error_category").isNotNull())
+            bad.select("path", F.lit("failed").alias("file_status"), F.col("extracted.error_category").alias("error_category"), F.col("extracted.message").alias("message")).write.mode("overwrite").parquet(f"{failures}/batch={n}")
         good = done.where(F.col("extracted.error_category").isNull())
         chunk_files(good, "path", F.col("extracted.segments"), file_name(F.col("path"))).write.mode("overwrite").parquet(f"{out}/batch={n}")
 

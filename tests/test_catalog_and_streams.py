@@ -63,6 +63,34 @@ def test_engine_degrades_and_limits(spark):
     assert [r.file_id for r in only] == ["f1"]
 
 
+def test_filters_come_before_the_cut(spark):
+    """A filtered search fills its limit from all fused candidates."""
+    rows = [(f"f{i:02d}", "s", f"/{'a' if i < 10 else 'b'}/{i:02d}.md", "indexed", "alpha " * (12 - i // 2)) for i in range(20)]
+    files = spark.createDataFrame(rows, "file_id string, source_id string, path string, file_status string, text string").withColumn("modified_at", F.current_timestamp())
+    chunks = files.select(F.col("file_id").alias("chunk_id"), "file_id", F.lit(None).cast("string").alias("heading_path"), F.lit("").alias("title"), F.col("text").alias("normalized_text"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("active").alias("chunk_status"))
+    got = SearchEngine(chunks, files).search(spark.createDataFrame([(0, "alpha")], "query_id long, query string"), "exact", 5, scope=filters.Scope("/b")).collect()
+    assert len(got) == 5 and all(r.path.startswith("/b/") for r in got) and sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5]
+
+
+def test_index_segments(spark, tmp_path):
+    from tarn.operators.keyword import KeywordIndex
+
+    index = KeywordIndex(spark, str(tmp_path / "i"), "id", 4)
+    df = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    found = lambda q: sorted(r.id for r in index.search(spark.createDataFrame([(0, q)], "query_id long, query string")).collect())
+    index.add(df([(1, "alpha beta"), (2, "alpha gamma"), (3, None)]), {"text": F.col("text")})
+    assert found("alpha") == [1, 2] and found("alpha-gamma") == [2] and found("none") == []
+    index.add(df([(2, "delta"), (4, "alpha")]), {"text": F.col("text")})
+    assert found("alpha") == [1, 4] and found("delta") == [2]
+    index.delete(df([(1, "")]))
+    assert found("alpha") == [4]
+    # a segment without its mark is not there
+    (tmp_path / "i" / "9").mkdir()
+    assert found("alpha") == [4]
+    index.compact()
+    assert found("alpha") == [4] and found("delta") == [2] and index.live("words").count() == 3
+
+
 def test_percentiles(spark):
     df = spark.createDataFrame([("g", float(i)) for i in range(1, 25)], "g string, v double")
     r = metrics.percentiles(df, "v", ["g"]).first()
@@ -80,11 +108,16 @@ def test_index_folder_stream(spark, tmp_path):
     folder.mkdir()
     (folder / "a.md").write_text("# A\nalpha")
     (folder / "skip.tmp").write_text("x")
+    (folder / "bad.md").write_bytes(b"\xff\xfe")
+    (folder / "node_modules").mkdir()
+    (folder / "node_modules" / "d.md").write_text("# no")
     for name, n in (("", 2), ("b.md", 4)):
         if name:
             (folder / name).write_text("# B\nbeta")
-        index_folder(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+        index_folder(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck"), failures=str(tmp_path / "failed")).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
+    failed = spark.read.parquet(str(tmp_path / "failed"))
+    assert {(r.path.split("/")[-1], r.file_status, r.error_category) for r in failed.collect()} == {("bad.md", "failed", "encoding_error"), ("skip.tmp", "failed", "unsupported_type")}
 
 
 def test_retry_stream(spark, tmp_path):

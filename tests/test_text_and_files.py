@@ -1,13 +1,14 @@
 import io
 import sqlite3
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
 from tarn.functions.vectors import from_blob, hashed_chars, quantize, to_blob
-from tarn.operators import chunk, extract, keyword
+from tarn.operators import chunk, extract, keyword, pdf
 from tarn.sources import files as fs
 from tarn.sources import schema
 from tarn.sources.report import synthetic_corpus, to_markdown
@@ -74,7 +75,7 @@ def test_extract_isolation_and_limits(spark):
     small = extract.Limits(segments=2)
     got = {r.path: r.extracted for r in extract.extract(df, limits=small, extractors={"markdown": broken}).collect()}
     cats = {k: v.error_category for k, v in got.items()}
-    assert cats == {"a.md": "parser_panic", "b.txt": "encoding_error", "c.docx": None, "d.docx": "malformed_document", "e.pdf": "unsupported_type", "f.zzz": "unsupported_type", "g.log": None, "h.html": None, "i.txt": None}
+    assert cats == {"a.md": "parser_panic", "b.txt": "encoding_error", "c.docx": None, "d.docx": "malformed_document", "e.pdf": "parser_error", "f.zzz": "unsupported_type", "g.log": None, "h.html": None, "i.txt": None}
     assert [s.text for s in got["c.docx"].segments] == ["one", "two"]
     assert len(got["h.html"].segments) == 2 and got["h.html"].warnings[0].limit_name == "max_segments"
     assert extract.extract_one("text", b"x" * 20, extract.Limits(file_bytes=10))["error_category"] == "file_too_large"
@@ -142,6 +143,71 @@ def test_scan_folder(spark, tmp_path):
     assert fs.path_state(str(tmp_path)) == "active" and fs.path_state(str(tmp_path / "no")) == "folder_not_found"
 
 
+def test_scan_sees_every_name(spark, tmp_path):
+    """Names with a leading dot or underscore are there as the policy wants, links are not followed, and paths behind them are refused."""
+    for name in ("_index.md", ".b.md", ".h/c.md", "a.md", "_d/e.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "link.md").symlink_to(tmp_path / "a.md")
+    names = lambda **k: sorted(r.display_path for r in fs.scan_folder(spark, str(tmp_path), fs.ScanPolicy(hidden=k.pop("hidden", False)), **k).collect())
+    assert names() == ["_d/e.md", "_index.md", "a.md"]
+    assert names(hidden=True, content=True) == [".b.md", ".h/c.md", "_d/e.md", "_index.md", "a.md"] and "link.md" in names(follow_links=True)
+    assert fs.validated_path(str(tmp_path / "a.md"), [str(tmp_path)]) == str(tmp_path / "a.md")
+    for path, why in (("link.md", "symlink_policy_blocked"), (".b.md", "hidden_file_excluded"), ("../x", "path_outside_source")):
+        with pytest.raises(fs.PathRefused, match=why):
+            fs.validated_path(str(tmp_path / path), [str(tmp_path)])
+    with pytest.raises(fs.PathRefused, match="file_too_large"):
+        fs.validated_path(str(tmp_path / "a.md"), [str(tmp_path)], fs.ScanPolicy(max_bytes=0))
+
+
+def test_pdf():
+    """Compressed pages, font maps, escapes, arrays, encryption, unreadable and empty pages."""
+    cmap = b"beginbfchar <01> <0041> <02> <00e9> endbfchar beginbfrange <10> <12> <0061> endbfrange"
+    parts = [
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R 5 0 R 6 0 R] /Resources << /Font << /F1 9 0 R >> >> >> endobj",
+        b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 7 0 R >> endobj", b"4 0 obj << /Type /Page /Parent 2 0 R /Resources << /Font << /F1 9 0 R >> >> /Contents [8 0 R 7 0 R] >> endobj",
+        b"5 0 obj << /Type /Page /Contents 11 0 R >> endobj", b"6 0 obj << /Type /Page >> endobj",
+        b"7 0 obj << /Length 9 >> stream\nBT (a\\(b\\)\\101) Tj 0 -12 Td [(wi) -20 (de) -300 (gap)] TJ ET\nendstream endobj",
+        b"8 0 obj << /Filter /FlateDecode >> stream\n" + zlib.compress(b"BT /F1 9 Tf <0102101112> Tj ET") + b"\nendstream endobj",
+        b"9 0 obj << /Type /Font /ToUnicode 10 0 R >> endobj", b"10 0 obj << >> stream\n" + cmap + b"\nendstream endobj",
+        b"11 0 obj << /Filter /LZWDecode >> stream\nxx\nendstream endobj",
+    ]
+    data = b"%PDF-1.4\n" + b"\n".join(parts)
+    doc = pdf.Pdf(data)
+    assert len(doc.pages()) == 4 and doc.text(doc.pages()[0]) == "a(b)A\nwide gap"
+    out = extract.extract_one("pdf", data)
+    assert [(x["text"].split("\n")[0], x["heading_path"]) for x in out["segments"]][0] == ("a(b)A", "Page 1") and [x["line_start"] for x in out["segments"]] == [1, 2]
+    assert out["segments"][1]["text"].startswith("A\u00e9abc") or "abc" in out["segments"][1]["text"]
+    assert out["warnings"] == [{"kind": "some_pages_unreadable", "pages": [3]}]
+    assert extract.extract_one("pdf", data + b"trailer << /Encrypt 5 0 R >>")["error_category"] == "encrypted_document"
+    assert extract.extract_one("pdf", b"no pdf")["error_category"] == "parser_error"
+    assert extract.extract_one("pdf", b"%PDF-1.4\n" + b"\n".join(parts[:2] + parts[5:6]))["warnings"] == [{"kind": "possibly_scanned_pdf"}]
+    cut = extract.extract_one("pdf", data, extract.Limits(pages=1))
+    assert len(cut["segments"]) == 1 and cut["warnings"][0]["limit_name"] == "max_pdf_pages"
+
+
+def test_read_errors():
+    assert [extract.read_error(e) for e in (PermissionError(), FileNotFoundError(), IsADirectoryError())] == ["permission_denied", "source_missing", "read_error"]
+
+
+def test_store_versions(spark, tmp_path):
+    """A version without its mark is not there; appended parts do not write the others again; old versions go."""
+    store = Store(spark, str(tmp_path / "s"))
+    row = lambda i: spark.createDataFrame([(str(i), "info", "k", None, None)], "event_id string, severity string, kind string, details string, created_at timestamp")
+    ids = lambda: sorted(r.event_id for r in store.read("app_events").collect())
+    store.append("app_events", row(1))
+    store.append("app_events", row(2))
+    assert ids() == ["1", "2"]
+    (tmp_path / "s/app_events/v3").mkdir()
+    assert ids() == ["1", "2"]
+    store.replace("app_events", row(3))
+    store.append("app_events", row(4))
+    assert ids() == ["3", "4"]
+    store.shrink("app_events")
+    store.shrink("app_events")
+    assert ids() == ["3", "4"] and not (tmp_path / "s/app_events/v1").exists()
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.migrate() == [1, 2, 3] and store.migrate() == []
