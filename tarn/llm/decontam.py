@@ -102,8 +102,10 @@ def probe_keys(texts: list[bytes | None], widths: list[int], bloom: np.ndarray,
         maybe = np.flatnonzero(bloom[one >> 3] >> (one & 7) & 1)
         two = two[maybe]
         maybe = maybe[(bloom[two >> 3] >> (two & 7) & 1).astype(bool)]
-        for d in np.unique(doc[maybe]):
-            hits[d].append(h[maybe[doc[maybe] == d]])
+        # texts come in order, so a text's hits are together
+        cuts = np.flatnonzero(np.diff(doc[maybe], prepend=-1, append=-1))
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            hits[doc[maybe[s]]].append(h[maybe[s:e]])
     return [np.unique(np.concatenate(x)) if x else flat[:0] for x in hits]
 
 
