@@ -124,12 +124,16 @@ def word_search(spark: SparkSession, sf_dir: str, queries: DataFrame, limit: int
     return index_of(spark, sf_dir).search(queries, limit)
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest({DOC_WORDS}) AS token FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS token FROM documents WHERE length(text) >= 3)
-SELECT 'words' AS kind, count(*) AS postings, count(DISTINCT token) AS tokens, count(DISTINCT doc_id) AS docs FROM w UNION ALL SELECT 'grams', count(*), count(DISTINCT token), count(DISTINCT doc_id) FROM g""")
+@query(f"SELECT count(*) AS postings, count(DISTINCT token) AS tokens, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({DOC_WORDS}) AS token FROM documents)")
 def k2_index_build(spark, sf_dir):
-    """Builds both kinds of postings anew."""
-    out = [index_of(spark, sf_dir, kind, fresh=True).postings(kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("postings"), F.count_distinct("token").alias("tokens"), F.count_distinct("doc_id").alias("docs")) for kind in ("words", "grams")]
-    return out[0].union(out[1])
+    """Builds the words' postings anew."""
+    return index_of(spark, sf_dir, fresh=True).postings("words").agg(F.count("*").alias("postings"), F.count_distinct("token").alias("tokens"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("SELECT count(*) AS postings, count(DISTINCT token) AS tokens, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS token FROM documents WHERE length(text) >= 3)")
+def k7_index_build(spark, sf_dir):
+    """Builds the trigrams' postings anew."""
+    return index_of(spark, sf_dir, "grams", fresh=True).postings("grams").agg(F.count("*").alias("postings"), F.count_distinct("token").alias("tokens"), F.count_distinct("doc_id").alias("docs"))
 
 
 def one_query(spark: SparkSession, text: str) -> DataFrame:
@@ -427,20 +431,39 @@ def pages_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.format_string("/pages/%d.html", "page_id").alias("path"), F.encode("html", "UTF-8").alias("content"))
 
 
-@query()
+#: Blocks of pages: scripts and styles go, opening block tags and headings' ends cut, all other tags vanish.
+BLOCK_ROWS = r"""raw AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<br>', chr(10), 'g') AS t FROM pages),
+cut AS (SELECT page_id, string_split('P' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<h[1-6][^>]*>', chr(1) || 'H', 'g'), '</h[1-6]>', chr(1) || 'P', 'g'), '<(p|div|li|td|th|article|section|blockquote)( [^>]*)?>', chr(1) || 'P', 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts FROM raw),
+part AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS n FROM cut),
+block AS (SELECT page_id, n, CASE WHEN left(part, 1) = 'H' THEN 'heading' ELSE 'paragraph' END AS kind, regexp_replace(trim(substr(part, 2), ' ' || chr(9) || chr(10)), '[\t \x{a0}]+(\n|$)', '\1', 'g') AS text FROM part WHERE trim(substr(part, 2), ' ' || chr(9) || chr(10)) <> ''),
+seg AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, kind, text, max(CASE WHEN kind = 'heading' THEN text END) OVER (PARTITION BY page_id ORDER BY n) AS heading_path FROM block)"""
+
+
+@query(f"WITH {BLOCK_ROWS} SELECT page_id, CAST(pos AS INTEGER) AS at, kind, text, heading_path FROM seg")
 def x5_html_blocks(spark, sf_dir):
     rows = extract.extract(pages_as_files(spark, sf_dir)).select("page_id", F.posexplode("extracted.segments").alias("at", "s"))
     return rows.select("page_id", "at", "s.kind", "s.text", "s.heading_path")
 
 
-@query()
+ONE_LINE = r"regexp_replace(regexp_replace(text, '[\t \x{a0}]+(\n|$)', '\1', 'g'), '\n$', '')"
+
+
+@query(f"WITH {FILES} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'markdown' WHEN 2 THEN 'html' WHEN 3 THEN 'pdf' ELSE 'text' END AS extractor, CASE WHEN doc_id % 6 = 3 THEN 0 ELSE 1 END AS n_segments, CAST(CASE WHEN doc_id % 6 = 3 THEN 0 ELSE length({ONE_LINE}) END AS BIGINT) AS char_count, CASE WHEN doc_id % 6 = 3 THEN 'parser_error' END AS error_category FROM files")
 def x8_x9_extract_routing(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("content", F.encode("text", "UTF-8"))
     rows = extract.extract(f).select("doc_id", "extractor", F.size("extracted.segments").alias("n_segments"), F.col("extracted.char_count").alias("char_count"), F.col("extracted.error_category").alias("error_category"))
     return rows
 
 
-@query()
+SECTIONS = f"""{BLOCK_ROWS},
+part_of AS (SELECT page_id, CASE WHEN heading_path IS NULL THEN 0 ELSE 1 END AS g, coalesce(max(heading_path), '') AS path, string_agg(text, chr(10) ORDER BY pos) AS t, min(pos) + 1 AS a, max(pos) + 1 AS z FROM seg GROUP BY page_id, CASE WHEN heading_path IS NULL THEN 0 ELSE 1 END),
+whole AS (SELECT page_id, max(heading_path) AS path, string_agg(text, chr(10) ORDER BY pos) AS t, min(pos) + 1 AS a, max(pos) + 1 AS z FROM seg GROUP BY page_id),
+long AS (SELECT page_id, g, path, t, a, z, length(t) AS n, unnest(range(0, greatest(1, length(t) - 120), 1080)) AS s FROM part_of WHERE octet_length(encode(t)) > 1200),
+piece AS (SELECT page_id, 0 AS g, -1 AS s, 'document' AS kind, path, t, a, z FROM whole UNION ALL SELECT page_id, g + 1, 0, 'section', path, t, a, z FROM part_of WHERE octet_length(encode(t)) <= 1200
+UNION ALL SELECT page_id, g + 1, s, 'fallback', path, trim(substr(t, s + 1, 1200), ' ' || chr(10)), a + CAST(floor(greatest(1, z - a) * (CAST(s AS DOUBLE) / n)) AS INTEGER), a + CAST(floor(greatest(1, z - a) * (CAST(least(s + 1200, n) AS DOUBLE) / n)) AS INTEGER) FROM long)"""
+
+
+@query(f"WITH {SECTIONS} SELECT page_id AS file_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY g, s) - 1 AS INTEGER) AS chunk_ordinal, kind AS chunk_kind, path AS heading_path, CAST(length(t) AS BIGINT) AS char_count, sha256(t) AS content_hash, CAST(a AS INTEGER) AS line_start, CAST(z AS INTEGER) AS line_end FROM piece")
 def c1_c2_sections(spark, sf_dir):
     rows = extract.extract(pages_as_files(spark, sf_dir))
     out = chunk.chunk_files(rows, "page_id", F.col("extracted.segments"), tx.file_name(F.col("path")))

@@ -17,7 +17,7 @@ from tarn.operators import catalog, chunk, extract, filters, fusion, jobs, keywo
 from tarn.plans.adapters import FILES, JOBS, files
 from tarn.plans.adapters import jobs as job_table
 from tarn.plans.queries import HEX, TRUST, docs
-from tarn.plans.registry import query, table
+from tarn.plans.registry import ORACLES, query, table
 from tarn.plans.search import SearchEngine
 from tarn.session import ship_package, work_folder
 from tarn.sources import files as fs
@@ -143,16 +143,21 @@ def x12_plugin(spark, sf_dir):
     return extract.extract(f, extractors={"text": shout}).select("doc_id", "extracted.extractor_name", F.get("extracted.segments", F.lit(0))["text"].alias("text"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, t, n, trim(t, {BLANKS}) AS b FROM {PARTS} WHERE trim(t, {BLANKS}) <> ''),
-w AS (SELECT doc_id, b, n, length(b) AS m, unnest(range(0, greatest(1, length(b) - 120), 1080)) AS pos FROM p WHERE octet_length(encode(b)) > 1200)
-SELECT doc_id AS file_id, 0 AS chunk_ordinal, 'document' AS chunk_kind, CAST(length(t) AS BIGINT) AS char_count, sha256(t) AS content_hash FROM p
-UNION ALL SELECT doc_id, 1, 'paragraph', CAST(length(b) AS BIGINT), sha256(b) FROM p WHERE octet_length(encode(b)) <= 1200
-UNION ALL SELECT doc_id, CAST(pos // 1080 + 1 AS INTEGER), 'fallback', CAST(length(trim(substr(b, pos + 1, 1200), {BLANKS})) AS BIGINT), sha256(trim(substr(b, pos + 1, 1200), {BLANKS})) FROM w""")
+PACKED = f"""WITH p AS (SELECT doc_id, t, n, trim(t, {BLANKS}) AS b FROM {PARTS} WHERE trim(t, {BLANKS}) <> ''),
+w AS (SELECT doc_id, b, n, length(b) AS m, unnest(range(0, greatest(1, length(b) - 120), 1080)) AS s FROM p WHERE octet_length(encode(b)) > 1200)
+SELECT doc_id AS file_id, 0 AS chunk_ordinal, 'document' AS chunk_kind, CAST(length(t) AS BIGINT) AS char_count, sha256(t) AS content_hash, 1 AS line_start, CAST(n AS INTEGER) AS line_end FROM p
+UNION ALL SELECT doc_id, 1, 'paragraph', CAST(length(b) AS BIGINT), sha256(b), 1, CAST(n AS INTEGER) FROM p WHERE octet_length(encode(b)) <= 1200
+UNION ALL SELECT doc_id, CAST(s // 1080 + 1 AS INTEGER), 'fallback', CAST(length(trim(substr(b, s + 1, 1200), {BLANKS})) AS BIGINT), sha256(trim(substr(b, s + 1, 1200), {BLANKS})),
+1 + CAST(floor(greatest(1, n - 1) * (CAST(s AS DOUBLE) / m)) AS INTEGER), 1 + CAST(floor(greatest(1, n - 1) * (CAST(least(s + 1200, m) AS DOUBLE) / m)) AS INTEGER) FROM w"""
+ORACLES["c1_c3_packed_chunks"] = PACKED
+
+
+@query(PACKED)
 def c1_c3_c4_c7_chunks(spark, sf_dir):
     """Chunks of whole texts: the document, then a paragraph or overlapping windows."""
     f = docs(spark, sf_dir).select("doc_id", F.lit("a.txt").alias("path"), F.encode("text", "UTF-8").alias("content"))
     rows = extract.extract(f).where(F.size("extracted.segments") > 0)
-    return chunk.chunk_files(rows, "doc_id", F.col("extracted.segments"), F.lit("a.txt")).select("file_id", "chunk_ordinal", "chunk_kind", "char_count", "content_hash")
+    return chunk.chunk_files(rows, "doc_id", F.col("extracted.segments"), F.lit("a.txt")).select("file_id", "chunk_ordinal", "chunk_kind", "char_count", "content_hash", "line_start", "line_end")
 
 
 @query("SELECT doc_id AS file_id, 'document' AS chunk_kind, 'n.md' AS title, '' AS normalized_text, 'unknown' AS location_quality FROM documents")
