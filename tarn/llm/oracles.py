@@ -28,4 +28,34 @@ FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GRO
 WHERE n_shared >= 0.8 * n_item
 """
 
-ORACLES = {"op4_line_dedup": OP4, "op7_decontamination": OP7}
+OP11 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to, true AS intact
+FROM f
+"""
+
+
+def op13(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds one after the other; means are floored in integers."""
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v ORDER BY sha256('2:' || vec_id), x LIMIT {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+d{i} AS (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - m{i}.x[i]) * (v.x[i] - m{i}.x[i]))) AS d FROM v, m{i}),
+a{i} AS MATERIALIZED (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        if i < rounds:
+            out += f""",
+e{i} AS (SELECT c, i, sum(e) AS s, count(*) AS n FROM (SELECT a{i}.c, unnest(v.x) AS e, unnest(range(64)) AS i FROM a{i} JOIN v USING (r)) GROUP BY c, i),
+f{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS x FROM e{i} GROUP BY c),
+m{i + 1} AS MATERIALIZED (SELECT m{i}.c, coalesce(f{i}.x, m{i}.x) AS x FROM m{i} LEFT JOIN f{i} USING (c))"""
+    return f"""{out}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN m{rounds} m ON m.c = a.c
+"""
+
+
+ORACLES = {"op4_line_dedup": OP4, "op7_decontamination": OP7, "op11_warc": OP11, "op13_clustering": op13()}

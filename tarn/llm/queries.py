@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chaining, decontam, hostbayes, langid, licenses, linededup, rules, simhash, tokencount
+from tarn.llm import bpe, chaining, decontam, dualtree, hostbayes, langid, licenses, linededup, rules, simhash, tokencount, warc, whitening
 from tarn.llm.common import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +57,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(scan(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(scan(spark, sf_dir, "pages")).drop("n_chunks")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(scan(spark, sf_dir, "embeddings"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.cluster(scan(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_bpe, op2_token_counts, op3_license_scan, op4_line_dedup, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_quality_classifier, op9_simhash, op10_language_id)
+    own = (op1_bpe, op2_token_counts, op3_license_scan, op4_line_dedup, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_quality_classifier, op9_simhash, op10_language_id, op11_warc, op12_whitening, op13_clustering)
     return {f.__name__: f for f in own}
 
 
