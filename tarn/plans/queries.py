@@ -111,7 +111,10 @@ _indexes: dict[tuple, keyword.KeywordIndex] = {}
 def index_of(spark: SparkSession, sf_dir: str, kind: str = "words", key: str = "doc_id", fresh: bool = False, name: str = "documents") -> keyword.KeywordIndex:
     """The postings of a table's texts, built once for each application and set of files."""
     source = table(spark, sf_dir, name)
-    at = (spark.sparkContext.applicationId, tuple(sorted(source.inputFiles())), kind, key)
+    # a file that is written again is indexed again
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    at = (spark.sparkContext.applicationId, tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed)), kind, key)
     if fresh or at not in _indexes:
         out = keyword.KeywordIndex(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}", key)
         first = source.columns[0]

@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -25,6 +26,12 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def local(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """A small table of the driver's, sent as Arrow: the plan knows its size."""
+    own = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(columns)]
+    return spark.createDataFrame(pa.table(own, names=[n for n, _ in columns]))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if it is a scan of fewer partitions, as of one small file; larger scans are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
