@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import pathlib
 import uuid
 import zipfile
 import zlib
@@ -264,6 +265,31 @@ def s1_s9_scan(spark, sf_dir):
     return found.select(F.split("display_path", r"\.")[0].alias("name"), fs.type_class(F.col("display_path")).alias("type_class")).distinct()
 
 
+#: Folders of the written tree: by the first letter of a page's host, then by number; names begin with a dot, an underscore or neither.
+TREE_PATH = "{0} || '/' || CAST(page_id % 7 AS STRING) || '/' || CASE page_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || CAST(page_id AS STRING) || '.html'"
+HOST = "substr(split_part(url, '/', 3), 1, 1)"
+
+
+@query(f"SELECT CAST(page_id AS BIGINT) AS page_id, {TREE_PATH.format(HOST).replace('STRING', 'VARCHAR')} AS display_path, octet_length(encode(coalesce(html, ''))) AS size_bytes FROM pages WHERE page_id % 3 <> 1 AND octet_length(encode(coalesce(html, ''))) <= 20000")
+def s1_folder_source(spark, sf_dir):
+    """The pages written as a tree of files by tasks, then listed by tasks: hidden and large files are left out, underscores are not."""
+    root = f"{work_folder(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").select(F.expr(TREE_PATH.format(HOST)).alias("at"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
+
+    def write(batches):
+        for batch in batches:
+            for at, body in zip(batch["at"], batch["body"]):
+                path = pathlib.Path(root, at)
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes(body)
+            yield batch[["at"]]
+
+    ship_package(spark)
+    pages.mapInPandas(write, "at string").write.format("noop").mode("overwrite").save()
+    found = fs.scan_folder(spark, root, fs.ScanPolicy(include=("*.html",), max_bytes=20_000))
+    return found.select(F.regexp_extract("display_path", r"_?(\d+)\.html$", 1).cast("bigint").alias("page_id"), "display_path", "size_bytes")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_seconds(F.col("s_suppkey") * 60)
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("source_id"), F.when(F.col("s_suppkey") % 4 == 0, "removed").when(F.col("s_suppkey") % 4 == 1, "disabled").otherwise("active").alias("source_status"), at.alias("created_at"), F.lit(None).cast("timestamp").alias("last_scanned_at"))

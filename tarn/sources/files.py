@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import extension, file_name
+from tarn.sources import folder
 
 # Default excludes, supported extensions, sensitive places.
 DEFAULT_EXCLUDES = (".git", "node_modules", "target", "dist", "build", ".cache", ".venv", "__pycache__")
@@ -101,29 +103,33 @@ def linked_below(root: str, path: str) -> bool:
     return any(os.path.islink(os.path.join(root, *parts[: i + 1])) for i in range(len(parts)))
 
 
+def listed_folder(spark: SparkSession, root: str, policy: ScanPolicy = ScanPolicy(), source_id: str = "source", follow_links: bool = False, stream: bool = False, settle: int = 0) -> DataFrame:
+    """(source_id, path, display_path, size_bytes, modified_at, problem): admitted files, and with ``problem`` (permission_denied, failed) what could not be listed.
+
+    Tasks list the folder, so all executors must see it under this path. Directories that the policy leaves out are not entered.
+    """
+    folder.register(spark)
+    names = [*policy.default_excludes, *(p for p in policy.exclude if not p.startswith("*."))]
+    read = (spark.readStream if stream else spark.read).format("folder").option("skip", json.dumps(names)).option("hidden", policy.hidden).option("followLinks", follow_links)
+    rows = (read.option("settle", settle) if stream else read).load(root)
+    admitted = policy.admits(F.col("display_path"), F.col("size_bytes"))
+    return rows.where(F.col("problem").isNotNull() | admitted).select(F.lit(source_id).alias("source_id"), *rows.columns)
+
+
 def scan_folder(spark: SparkSession, root: str, policy: ScanPolicy = ScanPolicy(), source_id: str = "source", content: bool = False, follow_links: bool = False) -> DataFrame:
     """(source_id, path, display_path, size_bytes, modified_at[, content, content_hash]) of the admitted files of a folder.
 
-    The folder is listed by its own file system, so names that start with a dot or an underscore are there, as the policy wants; symbolic links are
-    left out unless ``follow_links``. Contents are read, on the executors, only if asked for. A file that can't be read has a null content.
+    Names that start with a dot or an underscore are there, as the policy wants; symbolic links are left out unless ``follow_links``, and then
+    taken only within the folder. Contents are read, on the executors, only if asked for. A file that can't be read has a null content. Folders of other
+    file systems than the executors' own are listed by Spark's file source, which leaves out names that start with a dot or an underscore.
     """
-    base = root.rstrip("/").removeprefix("file://")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    local = system.getUri().getScheme() == "file"
-    rows, files = [], system.listFiles(path, True)
-    while files.hasNext():
-        f = files.next()
-        name = f.getPath().toUri().getPath() if local else f.getPath().toString()
-        if local and not follow_links and linked_below(base, name):
-            continue
-        rows.append((name, f.getLen(), f.getModificationTime()))
-    raw = spark.createDataFrame(rows, "p string, length bigint, ms bigint")
-    prefix = base + "/"
-    display = F.when(F.col("p").startswith(prefix), F.expr(f"substring(p, {len(prefix) + 1})")).otherwise(F.col("p"))
-    found = raw.withColumn("display", display).where(policy.admits(F.col("display"), F.col("length")))
-    out = found.select(F.lit(source_id).alias("source_id"), F.col("p").alias("path"), F.col("display").alias("display_path"), F.col("length").alias("size_bytes"), F.timestamp_millis("ms").alias("modified_at"))
+    if "://" in root and not root.startswith("file://"):
+        out = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        display = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
+        out = out.select(F.lit(source_id).alias("source_id"), "path", display.alias("display_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+        out = out.where(policy.admits(F.col("display_path"), F.col("size_bytes")))
+    else:
+        out = listed_folder(spark, root, policy, source_id, follow_links).where("problem is null").drop("problem")
     if content:
         from tarn.operators.extract import read_files
 

@@ -12,32 +12,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarn.functions.text import file_name
 from tarn.operators.chunk import chunk_files
-from tarn.operators.extract import extract
+from tarn.operators.extract import extract, read_files
 from tarn.operators.jobs import MAX_ATTEMPTS
 from tarn.session import ship_package
-from tarn.sources.files import ScanPolicy
+from tarn.sources.files import ScanPolicy, listed_folder
 
-BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def index_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, policy: ScanPolicy = ScanPolicy(), files_per_batch: int = 1_000, failures: str | None = None) -> StreamingQuery:
-    """Chunks of every new file of a folder, until none is left. A restart goes on from the checkpoint;
-    a batch writes its own folder, so one that is repeated replaces what it wrote. Files that fail are rows
-    (path, file_status, error_category, message) of ``failures``. The policy sees paths below the folder."""
-    prefix = folder.rstrip("/").removeprefix("file://") + "/"
-    raw = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+def index_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, policy: ScanPolicy = ScanPolicy(), failures: str | None = None, settle: int = 0) -> StreamingQuery:
+    """Chunks of every file of a folder that was written or changed since the last run. A restart goes on from the checkpoint;
+    a batch writes its own folder, so one that is repeated replaces what it wrote. Files that fail and folders that can't be listed are rows
+    (path, file_status, error_category, message) of ``failures``, by default a folder ``failed`` beside the checkpoint. The policy sees paths below the folder."""
+    failed = failures or f"{checkpoint.rstrip('/')}-failed"
 
     def batch(df: DataFrame, n: int) -> None:
-        rows = df.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-        below = F.when(F.col("path").startswith(prefix), F.expr(f"substring(path, {len(prefix) + 1})")).otherwise(F.col("path"))
-        done = extract(rows.where(policy.admits(below, F.col("length"))))
-        if failures:
-            bad = done.where(F.col("extracted.error_category").isNotNull())
-            bad.select("path", F.lit("failed").alias("file_status"), F.col("extracted.error_category").alias("error_category"), F.col("extracted.message").alias("message")).write.mode("overwrite").parquet(f"{failures}/batch={n}")
-        good = done.where(F.col("extracted.error_category").isNull())
+        read = read_files(df.where("problem is null"))
+        done = extract(read.where("read_error is null"))
+        category = F.col("extracted.error_category")
+        rows = lambda d, c, m: d.select("path", F.lit("failed").alias("file_status"), c.alias("error_category"), m.alias("message"))
+        none = F.lit(None).cast("string")
+        bad = rows(done.where(category.isNotNull()), category, F.col("extracted.message")).unionByName(rows(read.where("read_error is not null"), F.col("read_error"), none)).unionByName(rows(df.where("problem is not null"), F.col("problem"), none))
+        bad.write.mode("overwrite").parquet(f"{failed}/batch={n}")
+        good = done.where(category.isNull())
         chunk_files(good, "path", F.col("extracted.segments"), file_name(F.col("path"))).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    found = listed_folder(spark, folder, policy, stream=True, settle=settle)
+    return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retry_states(log: DataFrame, job: str = "job_id", outcome: str = "outcome") -> DataFrame:
