@@ -17,7 +17,7 @@ from tarn.session import ship_package
 from tarn.sources.store import upsert
 
 #: Queries whose vectors go to every task at once, and those that one matrix product takes; more queries need another scan.
-BLOCK, STEP = 65_536, 4_096
+BLOCK, STEP = 65_536, 512
 
 
 class BackendMissing(RuntimeError):
@@ -88,10 +88,37 @@ def validated(models: DataFrame, present: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("_path").isNull(), "missing").when(other, "invalid").otherwise("available")).drop("_path", "_expected")
 
 
+def finite_rows(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, places) of the vectors of a dimension without a null or an entry that is not finite."""
+    width = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
+    at = np.flatnonzero(width == dimension)
+    x = column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dimension) if len(at) else np.zeros((0, dimension))
+    good = np.isfinite(x).all(axis=1)
+    return x[good], at[good]
+
+
+def best_of(score: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest scores of each row, in order; ties by key. Only the rows whose last place is tied are sorted whole."""
+    n = score.shape[1]
+    if n <= k:
+        return np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)
+    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(score, at, axis=1).min(axis=1)
+    for i in np.flatnonzero((score >= last[:, None]).sum(axis=1) > k):
+        some = np.flatnonzero(score[i] >= last[i])
+        at[i] = some[np.lexsort((keys[some], -score[i, some]))[:k]]
+    order = np.lexsort((keys[at], -np.take_along_axis(score, at, axis=1)), axis=1)
+    return np.take_along_axis(at, order, axis=1)
+
+
 def top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """(key, score, rank) of one query: inner products, best first, ties by key; other dimensions don't count."""
+    """(key, score, rank) of one query: inner products, best first, ties by key.
+
+    Rows with a null key, and vectors that are null, of another dimension, or have a null or an entry that is not finite, don't count.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.where(F.size(vector) == len(query)).select(F.col(key), dot(F.col(vector), q).alias("score"))
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    scored = vectors.where(F.col(key).isNotNull() & (F.size(vector) == len(query)) & finite).select(F.col(key), dot(F.col(vector), q).alias("score"))
     best = scored.orderBy(F.col("score").desc(), F.col(key).asc()).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(key).asc())))
 
@@ -100,7 +127,8 @@ def top_k_batch(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
     """(query_id, key, score, rank): every query against all vectors, by matrix products.
 
     Queries are dealt to blocks of a bounded size; a block's vectors go to every task, which takes ``STEP`` of them at a time against each batch and returns
-    its k best for each query, so k rows for each query and task are shuffled and not all scores. One scan serves ``BLOCK`` queries. ``digits`` rounds scores before they are compared.
+    its k best for each query, so k rows for each query and task are shuffled and not all scores. One scan serves ``BLOCK`` queries. ``digits`` rounds scores before they are compared. Rows with a
+    null key and vectors that ``top_k`` leaves out don't count here either; a query of that kind gets no rows.
     """
     ship_package(vectors.sparkSession)
     own = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("query"))
@@ -117,10 +145,12 @@ def top_k_batch(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
 
 
 def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, id_type: str, k: int, digits: int | None) -> DataFrame:
-    ids, lists = rows["query_id"].to_pylist(), rows["query"].to_pylist()
-    sizes = sorted({len(v) for v in lists if v is not None})
-    mats = {d: (np.array([i for i, v in zip(ids, lists) if v is not None and len(v) == d]), np.array([v for v in lists if v is not None and len(v) == d], dtype=np.float64)) for d in sizes}
-    mats = {(d, i): (who[i : i + STEP], q[i : i + STEP]) for d, (who, q) in mats.items() for i in range(0, len(who), STEP)}
+    ids, column = np.array(rows["query_id"].to_pylist(), dtype=object), rows["query"].combine_chunks()
+    sizes = sorted({len(v) for v in column.to_pylist() if v})
+    mats = {}
+    for d in sizes:
+        q, at = finite_rows(column, d)
+        mats |= {(d, i): (ids[at[i : i + STEP]], q[i : i + STEP]) for i in range(0, len(q), STEP)}
     held = vectors.sparkSession.sparkContext.broadcast(mats)
     key_type = vectors.schema[key].dataType.simpleString()
 
@@ -128,24 +158,23 @@ def _block(vectors: DataFrame, key: str, vector: str, rows: pa.Table, id_type: s
         best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            col = batch.column(1)
-            width = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), -1))
-            rows = {d: np.flatnonzero(width == d) for d in {d for d, _ in held.value}}
-            mats_x = {d: np.asarray(col.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, d) for d, at in rows.items() if len(at)}
+            rows = {d: finite_rows(batch.column(1), d) for d in {d for d, _ in held.value}}
             for (size, i), (_, q) in held.value.items():
-                at, d = rows[size], (size, i)
+                (x, at), d = rows[size], (size, i)
                 if not len(at):
                     continue
-                x = mats_x[size]
-                s, who = q @ x.T if digits is None else np.round(q @ x.T, digits), np.broadcast_to(keys[at], (len(q), len(at)))
+                s = q @ x.T if digits is None else np.round(q @ x.T, digits)
+                top = best_of(s, keys[at], k)
+                s, who = np.take_along_axis(s, top, axis=1), keys[at][top]
                 if d in best:
                     s, who = np.concatenate([best[d][0], s], axis=1), np.concatenate([best[d][1], who], axis=1)
-                order = np.lexsort((who, -s), axis=1)[:, :k]
-                best[d] = np.take_along_axis(s, order, axis=1), np.take_along_axis(who, order, axis=1)
+                    order = np.lexsort((who, -s), axis=1)[:, :k]
+                    s, who = np.take_along_axis(s, order, axis=1), np.take_along_axis(who, order, axis=1)
+                best[d] = s, who
         for d, (s, who) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(held.value[d][0], s.shape[1])), pa.array(who.ravel()), pa.array(s.ravel())], names=["query_id", key, "score"])
 
-    return vectors.select(key, vector).mapInArrow(run, f"query_id {id_type}, `{key}` {key_type}, score double")
+    return vectors.where(F.col(key).isNotNull()).select(key, vector).mapInArrow(run, f"query_id {id_type}, `{key}` {key_type}, score double")
 
 
 def int8_table(vectors: DataFrame, vector: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
 from tarn.functions import vectors as vx
-from tarn.operators import accounting, catalog, chunk, extract, filters, fusion, jobs, keyword, metrics, vector
+from tarn.operators import accounting, catalog, chunk, extract, filters, fusion, jobs, keyword, metrics, pivots, vector
 from tarn.plans.adapters import FILES, JOBS, files
 from tarn.plans.adapters import jobs as job_table
 from tarn.plans.registry import query, table
@@ -269,12 +269,24 @@ def v5_topk(spark, sf_dir):
     return rounded(vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", first_vector(spark, sf_dir), 10))
 
 
-@query(f"SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 10")
+V5_BATCH = f"SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 10"
+
+
+@query(V5_BATCH)
 def v5_topk_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return rounded(vector.top_k_batch(e, "vec_id", "embedding", e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10))
 
 
+@query(V5_BATCH)
+def v5_pivot_index(spark, sf_dir):
+    """The same search over cells of pivots, which are built first."""
+    e = table(spark, sf_dir, "embeddings")
+    index = pivots.PivotIndex(spark, f"{work_folder(spark)}/pivots-{uuid.uuid4().hex}", "vec_id")
+    index.build(e, "embedding", 64)
+    return rounded(index.search(e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10))
+
+
 SMALL = f"(SELECT vec_id, list_transform(v, lambda x: CASE WHEN x < 0 THEN -floor(-x * 127 + 0.5) ELSE floor(x * 127 + 0.5) END) AS q FROM ({UNIT}))"
 
 
