@@ -231,12 +231,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).distinct()
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = WIDTH, **named) -> DataFrame:
-    """``docs`` less the documents that hold an item of ``least_words`` words or more; other texts of the same id stay.
+def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
+    """``docs`` less the documents that ``contaminated`` reports, whatever the items' length; other texts of the same id stay.
 
-    Shorter items stand in clean texts by chance, so ``contaminated`` reports them and they remove nothing.
+    An item of one or two common words therefore removes all documents that say them: such items should not be in a benchmark.
     """
     one, two = unique_names(docs, "id", "th")
-    bad = pairs_of(docs, items, doc_id, text, **named).where(F.col("item_words") >= least_words).select(F.col("doc_id").alias(one), F.col("th").alias(two)).distinct()
+    bad = pairs_of(docs, items, doc_id, text, **named).select(F.col("doc_id").alias(one), F.col("th").alias(two)).distinct()
     mine = F.col(f"`{doc_id}`").eqNullSafe(F.col(one)) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col(two))
     return docs.join(bad, mine, "left_anti")

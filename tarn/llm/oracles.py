@@ -26,6 +26,7 @@ n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment
 FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id) JOIN n USING (item_id)
 WHERE n_shared >= 0.8 * n_item
+UNION ALL SELECT DISTINCT doc_id, item_id, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS DOUBLE) FROM dw JOIN bw ON len(bw.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(dw.w, ' ') || ' ', ' ' || array_to_string(bw.w, ' ') || ' ')
 """
 
 OP11 = """
