@@ -11,19 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm import dualtree, queries, warc, whitening
-from tarn.llm.oracles import ORACLES
 from tests.conftest import SF
-from tests.oracle import connect, same_rows
 
 MARK = warc.SEPARATOR
 PAYLOADS = ["", None, "short", "x" * 99, "y" * 100, "y" * 100, "ü" * 150, "WARC/1.0\r\n" * 40, f"a{MARK}b" * 30, "\r\nWARC/1.1\r\n" * 20, "\r\n" * 200, "\r\n\r\n" + "z" * 120 + "\r\n\r\n", "日本語" * 500, "😀\r\n" * 300, "Content-Length: 3\r\n\r\nabc" * 20]
 
 
-@pytest.mark.parametrize("name", ["op11_warc", "op13_clustering"])
-def test_oracles(spark, name):
-    same_rows(spark, connect(SF), queries.queries()[name], ORACLES[name], SF)
-
-
 def plain_records(path):
     """(headers, block) of every record by the lengths that they name, as a reader of one stream does."""
     for f in sorted(glob.glob(f"{path}/*.gz")):
