@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -113,8 +114,10 @@ def unique_names(df: DataFrame, *names: str) -> list[str]:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that no DataFrame needs any more; by itself it waits until the driver's memory is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go the driver's memory has a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def blobs(column: pa.Array) -> list[bytes | None]:
