@@ -897,3 +897,4 @@ def f12_redaction(spark, sf_dir):
 
 
 import tarn.plans.workflows  # noqa: E402, F401  its queries are registered, too
+import tarn.plans.narrowing  # noqa: E402, F401
