@@ -164,8 +164,10 @@ class UnsafeCleanup(ValueError):
     """An ordinary cleanup would touch what cannot be rebuilt."""
 
 
-def clean(store, action: str, now: Column | None = None, confirmed: bool = False) -> None:
-    """Run a cleanup on a store's tables."""
+def clean(store, action: str, now: Column | None = None, confirmed: bool = False, index=None) -> None:
+    """Run a cleanup on a store's tables, and on an index of its chunks."""
+    from tarn.operators import lifecycle  # it builds on this module
+
     plan = CLEANUPS[action]
     if not plan.safe and not confirmed:
         raise UnsafeCleanup(action)
@@ -176,18 +178,15 @@ def clean(store, action: str, now: Column | None = None, confirmed: bool = False
     elif action == "clear_temporary_extraction":
         store.replace("cache_entries", store.read("cache_entries").where(F.col("namespace") != "extraction_temporary"))
     elif action == "remove_replaced_stale_indexes":
-        chunks = store.read("chunks")
-        store.replace("chunks", chunks.join(replaced_stale(chunks).select("chunk_id"), "chunk_id", "left_anti"))
+        lifecycle.remove_chunks(store, "replaced", index)
     elif action == "delete_vector_index":
         store.replace("embeddings", store.read("embeddings").limit(0))
     elif action == "delete_keyword_index":
         store.replace("chunks", store.read("chunks").withColumn("chunk_status", F.when(F.col("chunk_status") == "active", "stale").otherwise(F.col("chunk_status"))))
     elif action == "remove_temporary_source_indexes":
-        gone = store.read("sources").where(F.col("source_type") == "temporary")
-        files = store.read("files").join(gone.select("source_id"), "source_id", "left_semi").select("file_id")
-        store.replace("chunks", store.read("chunks").join(files, "file_id", "left_anti"))
+        lifecycle.remove_chunks(store, "temporary", index)
     else:
-        for table in ("sources", "files", "extraction_records", "chunks", "embeddings", "jobs", "search_queries", "snippets", "app_events", "cache_entries"):
+        for table in ("sources", "files", "extraction_records", "chunks", "embeddings", "jobs", "search_queries", "snippets", "rerank_scores", "app_events", "cache_entries"):
             store.replace(table, store.read(table).limit(0))
 
 
@@ -230,17 +229,6 @@ def touch_scanned(sources: DataFrame, ids: list[str], now: Column) -> DataFrame:
     return sources.withColumn("last_scanned_at", F.when(F.col("source_id").isin(ids), now).otherwise(F.col("last_scanned_at")))
 
 
-def remove_source(store, source_id: str) -> None:
-    """A source and all that refers to it."""
-    names = ("sources", "files", "chunks", "embeddings", "jobs")
-    gone = store.read("sources").where(F.col("source_id") == source_id)
-    links = [("files", "source_id", "sources", "source_id"), ("jobs", "source_id", "sources", "source_id"), ("chunks", "file_id", "files", "file_id"), ("embeddings", "chunk_id", "chunks", "chunk_id")]
-    left = cascade({n: store.read(n) for n in names}, links, "sources", gone, "source_id")
-    # children first, so what is left refers to nothing that is gone
-    for n in reversed(names):
-        store.replace(n, left[n])
-
-
 def clean_snippets(store) -> None:
     clean(store, "clear_snippet_cache")
 

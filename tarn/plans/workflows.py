@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
 from tarn.functions import vectors as vx
-from tarn.operators import catalog, chunk, extract, filters, fusion, jobs, keyword, metrics, vector
+from tarn.operators import catalog, chunk, extract, filters, fusion, jobs, keyword, lifecycle, metrics, vector
 from tarn.plans.adapters import FILES, JOBS, files
 from tarn.plans.adapters import jobs as job_table
 from tarn.plans.queries import HEX, TRUST, docs
@@ -488,7 +488,7 @@ def counts(store: Store, names: list[str]) -> DataFrame:
 @query("SELECT 'sources' AS t, count(DISTINCT source) - 1 AS n FROM documents UNION ALL SELECT t, n FROM (SELECT count(*) AS n FROM documents WHERE source <> 'src3'), (VALUES ('files'), ('chunks'), ('embeddings')) v(t)")
 def d12_remove_source(spark, sf_dir):
     store = filled(spark, sf_dir)
-    catalog.remove_source(store, "src3")
+    lifecycle.remove_source(store, "src3")
     return counts(store, ["sources", "files", "chunks", "embeddings"])
 
 

@@ -28,6 +28,7 @@ TABLES = {
     "models": "model_id string, role string, name string, version string, dimension int, path string, status string",
     "jobs": "job_id string, source_id string, file_id string, job_kind string, status string, priority int, attempts int, created_at timestamp, started_at timestamp, completed_at timestamp",
     "search_queries": "query_id string, query_text string, filters string, created_at timestamp, expires_at timestamp",
+    "rerank_scores": "cache_key string, chunk_id string, model_id string, score double, created_at timestamp, expires_at timestamp",
     "snippets": "chunk_id string, query_id string, snippet string, created_at timestamp",
     "app_events": "event_id string, severity string, kind string, details string, created_at timestamp",
     "storage_usage": "category string, bytes bigint, items bigint, updated_at timestamp",
