@@ -335,9 +335,9 @@ def test_what_stands_around():
     r = np.random.default_rng(6)
     for n in (5, 6, 40, 41, 43, 300):
         words = r.integers(0, 1 << 63, n, dtype=np.uint64)
-        pairs = chaining.rolled(words, 2)
-        want = [pairs[max(0, i - chaining.AROUND) : i + chaining.AROUND + 1].min() if len(pairs[max(0, i - chaining.AROUND) :]) else ~np.uint64(0) for i in range(n)]
-        assert (chaining.around(words) == (chaining._mix(np.array(want, dtype=np.uint64)) >> np.uint64(56))).all()
+        pairs = (chaining.rolled(words, 2) >> np.uint64(32)).astype(np.uint32)
+        want = [min(pairs[max(0, i - chaining.AROUND) : i + chaining.AROUND + 1], default=~np.uint32(0)) for i in range(n)]
+        assert (chaining.around(words) == (np.array(want, dtype=np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24))).all()
 
 
 def quoted(r, quotes, rate=0.12, pairs=30, words=60, piece=14):
@@ -358,7 +358,7 @@ def test_fuzzy_passages_that_others_quote(spark, quotes):
     """A pair of documents is found although others hold pieces of its passage; with fifty of them to a passage nine in ten are asked for."""
     rows = chaining.shared_passages(spark.createDataFrame(quoted(random.Random(31), quotes), "doc_id long, text string")).collect()
     got = {x.doc_id // 1_000 for x in rows if {x.doc_id % 1_000, x.other_id % 1_000} == {0, 1}}
-    assert len(got) >= (29 if quotes <= 12 else 27)
+    assert len(got) >= (29 if quotes <= 12 else 28)
 
 
 def test_packed_anchors():
