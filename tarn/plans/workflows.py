@@ -9,7 +9,7 @@ import zipfile
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
@@ -17,7 +17,7 @@ from tarn.functions import vectors as vx
 from tarn.operators import catalog, chunk, extract, filters, fusion, jobs, keyword, lifecycle, metrics, vector
 from tarn.plans.adapters import FILES, JOBS, files
 from tarn.plans.adapters import jobs as job_table
-from tarn.plans.queries import HEX, TRUST, docs
+from tarn.plans.queries import HEX, SNAPSHOT, TRUST, changes, docs
 from tarn.plans.registry import ORACLES, query, table
 from tarn.plans.search import SearchEngine
 from tarn.session import ship_package, work_folder
@@ -485,6 +485,38 @@ def counts(store: Store, names: list[str]) -> DataFrame:
     return out
 
 
+@query(f"""WITH {SNAPSHOT}, bad AS (SELECT source_id, count(*) FILTER (WHERE regexp_matches(path, '3\\.')) AS permission_denied, count(*) FILTER (WHERE regexp_matches(path, '7\\.')) AS failed FROM j GROUP BY source_id)
+SELECT source_id, count(*) FILTER (WHERE outcome NOT IN ('missing', 'gone')) AS seen, count(*) FILTER (WHERE outcome = 'new') AS new, count(*) FILTER (WHERE outcome IN ('unchanged', 'touched')) AS unchanged, count(*) FILTER (WHERE outcome = 'modified') AS stale,
+ count(*) FILTER (WHERE outcome = 'restored') AS restored, count(*) FILTER (WHERE outcome = 'missing') AS missing, CAST(0 AS BIGINT) AS unsupported, any_value(permission_denied) AS permission_denied, any_value(failed) AS failed,
+ count(*) FILTER (WHERE outcome IN ('new', 'modified')) AS queued, CAST(date_diff('millisecond', TIMESTAMP '2024-01-01', TIMESTAMP '{NOW}') AS BIGINT) AS duration_ms, false AS canceled FROM j JOIN bad USING (source_id) GROUP BY source_id""")
+def a9_scan_report(spark, sf_dir):
+    c = changes(spark, sf_dir)
+    bad = c.select("source_id", "path", F.when(F.col("path").rlike(r"3\."), "permission_denied").when(F.col("path").rlike(r"7\."), "failed").alias("problem")).where("problem is not null")
+    return lifecycle.scan_report(c, bad, F.lit("2024-01-01").cast("timestamp"), now())
+
+
+@query(f"WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'permission_denied' ELSE file_status END AS file_status FROM files WHERE doc_id % 2 = 0 AND length(text) % 3 = 0")
+def s20_lookups_and_status(spark, sf_dir):
+    """Files looked up by id, then by source and path, then with a status alone changed."""
+    f = files(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "source_id", F.col("path").alias("canonical_path"), "file_status", "text")
+    found = lifecycle.files_by_path(lifecycle.files_by_id(f, f.where("file_id % 2 = 0")), f.where(F.length("text") % 3 == 0))
+    out = lifecycle.set_status(found, f.where("file_id % 9 = 4").select("file_id", F.lit("permission_denied").alias("file_status")))
+    return out.select(F.col("file_id").alias("doc_id"), "file_status")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents WHERE lang IS NOT NULL),
+s AS (SELECT *, least(length('Title: ' || source || chr(10) || 'Section: ' || chr(10) || 'Text:' || chr(10) || coalesce(text, '')), 2000) AS score FROM r JOIN (SELECT doc_id, coalesce(source, '') AS source FROM documents) USING (doc_id))
+SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, rank, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank, CAST(0 AS BIGINT) AS scored_again FROM s""")
+def m15_rerank_cache(spark, sf_dir):
+    """All documents of each language reranked by the length of their rerank text, twice; the second run scores none."""
+    order = Window.partitionBy("lang").orderBy("doc_id")
+    rows = docs(spark, sf_dir).where("lang is not null").select(F.col("lang").alias("query_id"), F.col("lang").alias("query"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.lit("").alias("heading_path"), "text", F.row_number().over(order).alias("rank"))
+    cache = lifecycle.RerankCache(new_store(spark), "length", lambda q, t: F.length(t))
+    cache.ranked(rows, now())
+    out = cache.ranked(rows, now())
+    return out.select(F.col("query_id").alias("lang"), F.col("chunk_id").cast("bigint").alias("doc_id"), "rank", F.lit(cache.scored).cast("bigint").alias("scored_again"))
+
+
 @query("SELECT 'sources' AS t, count(DISTINCT source) - 1 AS n FROM documents UNION ALL SELECT t, n FROM (SELECT count(*) AS n FROM documents WHERE source <> 'src3'), (VALUES ('files'), ('chunks'), ('embeddings')) v(t)")
 def d12_remove_source(spark, sf_dir):
     store = filled(spark, sf_dir)
