@@ -60,6 +60,16 @@ NAMES = {
     "CC-BY-NC-ND": ["CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC-BY-NC-ND-4.0"],
     "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0", "CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"],
 }
+#: Identifiers of families beside their names.
+TAGS = {
+    "GPL-3.0": ["GPL-3.0", "GPL-3.0+"],
+    "GPL-2.0": ["GPL-2.0", "GPL-2.0+"],
+    "LGPL": ["LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1+", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only"],
+    "AGPL-3.0": ["AGPL-3.0"],
+    "CC-BY": ["CC-BY-3.0"],
+    "CC-BY-SA": ["CC-BY-SA-3.0"],
+}
+TAG = r"spdx-license-identifier:[ \t]*([a-z0-9][a-z0-9.+-]*)"
 FORMS = [
     "Licensed under {}.",
     "Licensed under the {}.",
@@ -200,7 +210,7 @@ SENTENCES = {
     ],
 }
 
-NOTICES = {f: [form.format(name) for name in NAMES.get(f, []) for form in FORMS] + SENTENCES.get(f, []) for f in [*NAMES, "Proprietary", NONE]}
+NOTICES = {f: [form.format(name) for name in NAMES.get(f, []) for form in FORMS] + [f"SPDX-License-Identifier: {t}" for t in TAGS.get(f, [])] + SENTENCES.get(f, []) for f in [*NAMES, "Proprietary", NONE]}
 
 
 def tokens(text: str) -> list[str]:
@@ -242,7 +252,7 @@ def _train(rows: list[set[str]], y: np.ndarray, k: int) -> tuple[list[str], np.n
         w = np.sign(w) * np.maximum(np.abs(w) - LASSO * RATE, 0)
     full = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
     if len(full) > MAX_FEATURES:
-        full = np.sort(full[np.argsort(-np.abs(w[full]).max(axis=1), kind="stable")[:MAX_FEATURES]])
+        raise ValueError(f"{len(full)} features of weight: at most {MAX_FEATURES} are sent to all tasks")
     return [names[i] for i in full], w[full].astype(np.float64), b.astype(np.float64)
 
 
@@ -256,21 +266,34 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def identifiers(family: str) -> set[str]:
+    """What a machine-readable tag may call a family: its names without a blank, and its other identifiers."""
+    return {f"spdx:{n.lower()}" for n in [*NAMES.get(family, []), *TAGS.get(family, [])] if " " not in n}
+
+
+def tag(text: str) -> str | None:
+    """The identifier of a tag, as a template has it."""
+    found = re.search(TAG, text.lower())
+    return f"spdx:{found[1]}" if found else None
+
+
 def templates(families: list[str], left_out: set[str] = frozenset()) -> tuple[dict[str, set[str]], set[str]]:
-    """(the trigrams of each family's texts that tell it, the trigrams of ``COMMON`` families or more, which tell nothing)."""
+    """(the trigrams of each family's texts that tell it and its identifiers, the trigrams of ``COMMON`` families or more, which tell nothing)."""
     every = {f: {g for t in NOTICES[f] if t not in left_out for g in grams(tokens(t), 3) if telling(g)} for f in families if f != NONE}
     times: dict[str, int] = {}
     for own in every.values():
         for g in own:
             times[g] = times.get(g, 0) + 1
     common = {g for g, n in times.items() if n >= COMMON}
-    return {f: own - common for f, own in every.items()}, common
+    return {f: own - common | identifiers(f) for f, own in every.items()}, common
 
 
 def likeness(text: str, template: set[str], common: set[str]) -> float:
-    """Share of a paragraph's telling trigrams, or of the template's if those are fewer, that both have."""
-    own = {g for g in grams(tokens(text), 3) if telling(g)} - common
-    return len(own & template) / min(len(own), len(template)) if own and template else 0.0
+    """Share of a paragraph's telling trigrams, or of the template's if those are fewer, that both have; a paragraph with a tag is what the tag says, 1 or 0."""
+    if named := tag(text):
+        return float(named in template)
+    own, known = {g for g in grams(tokens(text), 3) if telling(g)} - common, {g for g in template if not g.startswith("spdx:")}
+    return len(own & known) / min(len(own), len(known)) if own and known else 0.0
 
 
 @cache
@@ -337,6 +360,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     families, names, w, b, heat, bound = model()
     weights = spark.createDataFrame([(g, [float(x) for x in r]) for g, r in zip(names, w)], "gram string, weight array<double>")
     own_grams, common = templates(families)
+    # a template's identifiers are no trigrams: they count for paragraphs with a tag alone
     known = spark.createDataFrame([(f, sorted(t), sorted(common)) for f, t in own_grams.items()], "family string, template array<string>, common array<string>")
     words = paragraphs(docs, doc_id, text).withColumn("words", F.regexp_extract_all(F.lower("body"), F.lit(TOKEN), 0))
     rows = words.withColumn("threes", F.array_distinct(_native_grams(F.col("words"), 3)))
@@ -353,8 +377,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     out = joined.select(*key, "threes", z.alias("z")).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - best)))
     out = out.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position("z", best).cast("int"))).where(F.col("family") != NONE)
     out = out.join(F.broadcast(known), "family")
-    out = out.withColumn("own", F.array_except(F.filter("threes", lambda g: g.rlike(GRAM)), "common"))
-    both, least = F.size(F.array_intersect("own", "template")), F.least(F.size("own"), F.size("template"))
-    out = out.withColumn("similarity", F.when(least > 0, both / least).otherwise(F.lit(0.0)))
-    sure = (F.col("probability") >= bound) & (F.col("similarity") >= MIN_SIMILARITY)
+    out = out.withColumn("own", F.array_except(F.filter("threes", lambda g: g.rlike(GRAM)), "common")).withColumn("tag", F.regexp_extract(F.lower("body"), TAG, 1))
+    both, least = F.size(F.array_intersect("own", "template")), F.least(F.size("own"), F.size(F.filter("template", lambda g: ~g.startswith("spdx:"))))
+    tagged = F.array_contains("template", F.concat(F.lit("spdx:"), "tag")).cast("double")
+    out = out.withColumn("similarity", F.when(F.col("tag") != "", tagged).when(least > 0, both / least).otherwise(F.lit(0.0)))
+    # an identifier behind a tag confirms its family by itself
+    sure = (F.col("probability") >= bound) & (F.col("similarity") >= MIN_SIMILARITY) | ((F.col("tag") != "") & (F.col("similarity") == 1))
     return out.select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), sure.alias("confirmed"))

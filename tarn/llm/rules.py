@@ -196,7 +196,7 @@ def content_words(lines: list[bytes], mask: np.ndarray | None, model) -> int:
 
 
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_words, base_failed, kept) of every row.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_words) of every row.
 
     Null and empty texts have no words and fail the base rules. Without labelled documents of both
     labels there is no field, every line is content and the base rules decide alone.
@@ -217,4 +217,4 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_words")
     fields = ", ".join(f"{c} bigint" for c in names) + ", base_failed boolean, kept boolean"
-    return map_text(docs, {"doc_id": F.col(doc_id)}, text, fields, run)
+    return map_text(docs, {"doc_id": F.col(doc_id)}, text, fields, run).select("doc_id", *names[:-1], "base_failed", "kept", names[-1])

@@ -189,7 +189,7 @@ def brute_licenses(rows):
             if families[k] == licenses.NONE:
                 continue
             like = licenses.likeness(line, telling[families[k]], common)
-            sure = p[k] >= bound and like >= licenses.MIN_SIMILARITY
+            sure = p[k] >= bound and like >= licenses.MIN_SIMILARITY or licenses.tag(line) is not None and like == 1
             out.append((i, n, families[k] if sure else licenses.UNKNOWN, round(float(p[k]), 4), round(like, 4)))
     return out
 
@@ -217,6 +217,18 @@ def test_license_families(spark):
     assert all(told[t] in (None, "unknown") for t in strange)
 
 
+def test_tags_confirm_their_family(spark):
+    """Every identifier of every family behind a tag is confirmed or unknown and never another; identifiers of strange families are unknown."""
+    ids = [(f, t.removeprefix("spdx:")) for f in licenses.NAMES for t in sorted(licenses.identifiers(f))]
+    strange = ["EUPL-1.2", "OSL-3.0", "OFL-1.1", "PostgreSQL", "MS-PL", "ODbL-1.0", "GFDL-1.3-only", "BSD-4-Clause", "NCSA", "Python-2.0"]
+    rows = [(i, f"# SPDX-License-Identifier: {t}") for i, (_, t) in enumerate(ids)] + [(1_000 + i, f"SPDX-License-Identifier: {t}") for i, t in enumerate(strange)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = [(f, got[i].family) for i, (f, _) in enumerate(ids)]
+    assert all(t in (f, "unknown") for f, t in told) and sum(t == f for f, t in told) >= 0.97 * len(told)
+    assert {f for f, t in told if f == t} == set(licenses.NAMES)
+    assert all(1_000 + i not in got or got[1_000 + i].family == "unknown" for i in range(len(strange)))
+
+
 def test_licenses(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF2}/documents.parquet").where("lower(text) like '%licen%' or lower(text) like '%copyright%' or lower(text) like '%reserved%'").collect()]
     rows += [(-1, "Licensed under the Apache License, Version 2.0.\nHe has a license.\n\nAll rights reserved by Tim.\nLicensed under terms of our own making, warranty void"), (-2, None), (-3, ""), (-4, "copyright " * 5000)]
