@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +42,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < n < cores else df
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder; once the session is stopped, one of the driver's own file system, and no other."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+        return
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _folders: dict[str, str] = {}
 
 
@@ -52,4 +66,6 @@ def work_folder(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="tarn-work-")
         _folders[app] = f"{base.rstrip('/')}/tarn-core-{app}"
+        # indexes and stores that nobody keeps go with the application
+        atexit.register(delete_folder, spark, _folders[app])
     return _folders[app]
