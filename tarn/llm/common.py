@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.session import ship_package
+from tarn.session import delete_folder, ship_package
 
 #: Rows and bytes of one Arrow batch sent to Python; a batch always holds at least one row.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
@@ -59,12 +59,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of ``shared_root``; a stopped session leaves it to the folder's owner."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder of ``shared_root``; once the session is stopped only one of the driver's own file system can be."""
+    delete_folder(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
