@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
-from tarn.operators import budget, grouping
+from tarn.functions.nfkc import nfkc
+from tarn.operators import budget, grouping, identifiers
 from tarn.plans.queries import DOC_WORDS, WORDS, docs
 from tarn.plans.registry import query, table
 from tarn.session import work_folder
@@ -124,3 +125,41 @@ def c3_csv_row_groups(spark, sf_dir):
     body = F.concat(F.lit(f"{CSV_HEAD}\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
     out = budget.csv_groups(files.select("conv_id", body.alias("body")), "conv_id", "body")
     return out.select("conv_id", "ordinal", "chunk_kind", "row_start", "row_end", F.sha2("content", 256).alias("content_hash"))
+
+
+@query()
+def x1_nfkc(spark, sf_dir):
+    """No oracle: DuckDB has no compatibility forms. The tests hold the function against the standard library's on all code points."""
+    n = nfkc(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(n, 256).alias("nfkc_sha256"), F.length(n).cast("bigint").alias("n_chars"))
+
+
+#: Identifiers of documents in order, with their parts.
+NAMES = r"""
+n AS (SELECT doc_id, unnest(x) AS name, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(replace(text, chr(160), ' '))), '[\p{L}\p{N}]+(?:[-_.][\p{L}\p{N}]+)*') AS x FROM documents)),
+p AS (SELECT doc_id, name, i, regexp_extract_all(name, '[\p{L}\p{N}]+') AS parts FROM n)"""
+
+
+def identifier_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query): the identifiers of several parts that documents have."""
+    posts = identifiers.graph_postings(docs(spark, sf_dir), "doc_id", F.col("text"))
+    return posts.where("length > 1").select(F.col("token").alias("query")).distinct()
+
+
+@query(f"WITH {NAMES} SELECT name AS identifier, count(DISTINCT doc_id) AS n_docs, count(*) AS hits FROM p WHERE len(parts) > 1 GROUP BY name")
+def k9_identifiers(spark, sf_dir):
+    q = identifier_queries(spark, sf_dir).select("query", F.col("query").alias("query_id"))
+    found = identifiers.phrase_hits(docs(spark, sf_dir), q, "doc_id", F.col("text"))
+    return found.groupBy(F.col("query_id").alias("identifier")).agg(F.count("*").alias("n_docs"), F.sum("hits").alias("hits"))
+
+
+@query(rf"""WITH {NAMES}, f AS (SELECT doc_id, i, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM p),
+s AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM f),
+t AS (SELECT item_id AS query_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS off, len(ps) AS k FROM (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')[1:3] AS ps FROM benchmark)),
+m AS (SELECT query_id, doc_id, pos - off AS start FROM t JOIN s USING (part) GROUP BY query_id, doc_id, pos - off, k HAVING count(*) = k)
+SELECT query_id, doc_id, count(*) AS hits FROM m GROUP BY query_id, doc_id""")
+def k9_part_phrases(spark, sf_dir):
+    """The first three words of every benchmark item as a phrase of parts, over all documents."""
+    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(tx.TOKEN), 0), 1, 3)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    return identifiers.phrase_hits(docs(spark, sf_dir), q, "doc_id", F.col("text"), exact=False)
