@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HANGUL_VOWELS, HANGUL_ENDS = range(0x1161, 0x1176), range(0x11A8, 0x11C3)
+#: Stable characters in a row that are looked up first.
+WIDE_GAP = 64
 
 
 @functools.cache
@@ -28,13 +30,16 @@ def unstable() -> str:
         parts = unicodedata.decomposition(c).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
             ends.add(int(parts[1], 16))
-    codes, spans = sorted(odd | ends), []
-    for code in codes:
+    spans: list[list[int]] = []
+    for code in sorted(odd | ends):
         if spans and spans[-1][1] == code - 1:
             spans[-1][1] = code
         else:
             spans.append([code, code])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+    # a class is searched range by range: long stretches of stable characters, ASCII first, are ruled out before
+    gaps = [(a[1] + 1, b[0] - 1) for a, b in zip([[-1, -1], *spans], spans) if b[0] - a[1] > WIDE_GAP]
+    ranges = lambda pairs: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in pairs)
+    return f"[[^{ranges(gaps)}]&&[{ranges(spans)}]]"
 
 
 @functools.cache

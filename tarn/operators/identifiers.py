@@ -42,7 +42,9 @@ def graph(text: Column) -> Column:
 
 def graph_postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, dl, field, pos, length, token): every part, and every whole of several parts. dl counts places."""
-    rows = docs.select(F.col(key), graph(text).alias("_places")).select(key, F.size("_places").cast("bigint").alias("dl"), F.posexplode("_places").alias("pos", "_place"))
+    # counted before the places are dealt out, so that no row carries all of them
+    lists = docs.select(F.col(key), graph(text).alias("_places")).select(key, "_places", F.size("_places").cast("bigint").alias("dl"))
+    rows = lists.select(key, "dl", F.posexplode("_places").alias("pos", "_place"))
     part = F.struct(F.lit(1).alias("length"), F.col("_place.token").alias("token"))
     whole = F.struct(F.col("_place.length").alias("length"), F.col("_place.whole").alias("token"))
     both = F.when(F.col("_place.whole").isNull(), F.array(part)).otherwise(F.array(part, whole))
