@@ -39,6 +39,13 @@ def fold(text: Column) -> Column:
     return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(F.lower(text), ACCENTED, PLAIN)).otherwise(F.lower(text))
 
 
+def upper_one(c: str) -> str:
+    """A character's simple upper case: one character, where the full one may be several (ß, ligatures)."""
+    if len(up := c.upper()) == 1 or len(up := c.title()) == 1:
+        return up
+    return "\u1e9e" if c == "ß" else c
+
+
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits."""
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), 0)
