@@ -11,14 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HANGUL_VOWELS, HANGUL_ENDS = range(0x1161, 0x1176), range(0x11A8, 0x11C3)
-#: Stable characters in a row that are looked up first.
-WIDE_GAP = 64
+#: Stable stretches beyond Latin that are ruled out in the JVM: the longest ones. A class of all would be searched range by range at every character.
+LONGEST = 6
 
 
 @functools.cache
 def unstable() -> str:
-    """A character class of all that may change under NFKC, by itself or beside others: characters with another form, combining marks,
-    and those that a composition ends with. A text without any of them is its own NFKC."""
+    """A character class that has all that may change under NFKC, by itself or beside others: characters with another form, combining marks,
+    and those that a composition ends with. It is a few ranges short of stable characters, so a text without any of them is its own NFKC, and others may be."""
     ends = {*HANGUL_VOWELS, *HANGUL_ENDS}
     odd = set()
     for code in range(sys.maxunicode + 1):
@@ -30,16 +30,10 @@ def unstable() -> str:
         parts = unicodedata.decomposition(c).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
             ends.add(int(parts[1], 16))
-    spans: list[list[int]] = []
-    for code in sorted(odd | ends):
-        if spans and spans[-1][1] == code - 1:
-            spans[-1][1] = code
-        else:
-            spans.append([code, code])
-    # a class is searched range by range: long stretches of stable characters, ASCII first, are ruled out before
-    gaps = [(a[1] + 1, b[0] - 1) for a, b in zip([[-1, -1], *spans], spans) if b[0] - a[1] > WIDE_GAP]
-    ranges = lambda pairs: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in pairs)
-    return f"[[^{ranges(gaps)}]&&[{ranges(spans)}]]"
+    edges = [-1, *sorted(odd | ends), sys.maxunicode + 1]
+    gaps = [(a + 1, b - 1) for a, b in zip(edges, edges[1:]) if b - a > 1]
+    longest = sorted((g for g in gaps if g[0] >= 0x250), key=lambda g: g[0] - g[1])[:LONGEST]
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in sorted({*(g for g in gaps if g[0] < 0x250), *longest})) + "]"
 
 
 @functools.cache
