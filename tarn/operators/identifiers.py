@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.nfkc import nfkc
 from tarn.functions.text import CJK, fold
-from tarn.operators.keyword import frequencies
+from tarn.operators.keyword import frequencies, literals
 
 LETTER = r"\p{L}\p{N}\p{Co}"
 #: What is between white space and punctuation, with single connectors inside.
@@ -30,27 +30,40 @@ def graph(text: Column) -> Column:
 
     def places(name: Column) -> Column:
         parts = F.regexp_extract_all(name, F.lit(PART), 0)
+        alone = F.array(F.struct(name.alias("token"), F.lit(None).cast("string").alias("whole"), F.lit(None).cast("int").alias("length")))
 
         def place(part: Column, i: Column) -> Column:
             many = F.when(i == 0, F.when(F.size(parts) > 1, F.size(parts)))
             return F.struct(part.alias("token"), F.when(many.isNotNull(), name).alias("whole"), many.alias("length"))
 
-        return F.transform(parts, place)
+        # most words are ASCII without a connector: one part, which no pattern has to look for
+        plain = (F.octet_length(name) == F.length(name)) & ~F.contains(name, F.lit("-")) & ~F.contains(name, F.lit("_")) & ~F.contains(name, F.lit("."))
+        return F.when(plain, alone).otherwise(F.transform(parts, place))
 
     return F.flatten(F.transform(names, places))
 
 
-def graph_postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, dl, field, pos, length, token): every part, and every whole of several parts. dl counts places."""
+def graph_postings(docs: DataFrame, key: str, text: Column, among: list[str] | None = None) -> DataFrame:
+    """(key, dl, field, pos, length, token): every part, and every whole of several parts. dl counts places. With ``among`` only places where one of these tokens stands."""
     # counted before the places are dealt out, so that no row carries all of them
     lists = docs.select(F.col(key), graph(text).alias("_places")).select(key, "_places", F.size("_places").cast("bigint").alias("dl"))
-    rows = lists.select(key, "dl", F.posexplode("_places").alias("pos", "_place"))
+    if among is None:
+        rows = lists.select(key, "dl", F.posexplode("_places").alias("pos", "_place"))
+    else:
+        there = F.filter(F.transform("_places", lambda p, i: F.struct(i.alias("pos"), p.alias("_place"))), lambda r: r["_place"]["token"].isin(among) | F.coalesce(r["_place"]["whole"].isin(among), F.lit(False)))
+        rows = lists.select(key, "dl", F.inline(there))
     part = F.struct(F.lit(1).alias("length"), F.col("_place.token").alias("token"))
     whole = F.struct(F.col("_place.length").alias("length"), F.col("_place.whole").alias("token"))
     both = F.when(F.col("_place.whole").isNull(), F.array(part)).otherwise(F.array(part, whole))
     return rows.select(key, "dl", F.lit("text").alias("field"), "pos", F.inline(both))
 
 
+def wholes(docs: DataFrame, text: Column) -> DataFrame:
+    """(token): the different identifiers of several parts."""
+    named = F.filter(graph(text), lambda p: p["whole"].isNotNull())
+    return docs.select(F.explode(F.array_distinct(F.transform(named, lambda p: p["whole"]))).alias("token")).distinct()
+
+
 def graph_phrases(queries: DataFrame, query_id: str, query: str, exact: bool) -> DataFrame:
     """(query_id, n_phrases, phrase, n_tokens, offset, token): every query is one phrase; ``exact`` asks for its identifiers as wholes, else for all parts.
 
@@ -76,7 +89,8 @@ def _longest(state: Column, row: Column) -> Column:
 
 def phrase_hits(docs: DataFrame, queries: DataFrame, key: str, text: Column, query_id: str = "query_id", query: str = "query", exact: bool = True) -> DataFrame:
     """(query_id, key, hits): how often a document has a query as a phrase, word for word (``exact``) or in parts."""
-    posts = graph_postings(docs, key, text)
+    terms = graph_phrases(queries, query_id, query, exact)
+    posts = graph_postings(docs, key, text, literals(terms))
     posts = posts if exact else posts.where("length = 1")
-    found = frequencies(posts.drop("length"), graph_phrases(queries, query_id, query, exact), key)
+    found = frequencies(posts.drop("length"), terms, key)
     return found.select("query_id", key, F.col("f").alias("hits"))

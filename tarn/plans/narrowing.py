@@ -142,13 +142,15 @@ p AS (SELECT doc_id, name, i, regexp_extract_all(name, '[\p{L}\p{N}]+') AS parts
 
 def identifier_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query): the identifiers of several parts that documents have."""
-    posts = identifiers.graph_postings(docs(spark, sf_dir), "doc_id", F.col("text"))
-    return posts.where("length > 1").select(F.col("token").alias("query")).distinct()
+    return identifiers.wholes(docs(spark, sf_dir), F.col("text")).withColumnRenamed("token", "query")
 
 
 @query(f"WITH {NAMES} SELECT name AS identifier, count(DISTINCT doc_id) AS n_docs, count(*) AS hits FROM p WHERE len(parts) > 1 GROUP BY name")
 def k9_identifiers(spark, sf_dir):
-    q = identifier_queries(spark, sf_dir).select("query", F.col("query").alias("query_id"))
+    # written, as a list that is read several times
+    path = f"{work_folder(spark)}/identifiers-{uuid.uuid4().hex}"
+    identifier_queries(spark, sf_dir).select("query", F.col("query").alias("query_id")).write.parquet(path)
+    q = spark.read.schema("query string, query_id string").parquet(path)
     found = identifiers.phrase_hits(docs(spark, sf_dir), q, "doc_id", F.col("text"))
     return found.groupBy(F.col("query_id").alias("identifier")).agg(F.count("*").alias("n_docs"), F.sum("hits").alias("hits"))
 
