@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Documents and tokens up to which a range takes more documents.
 RANGE, RANGE_TOKENS = 512, 2_000_000
@@ -22,8 +23,41 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def invert(batches: Iterable[pa.RecordBatch], n_fields: int, first: int) -> Iterator[pa.RecordBatch]:
-    """From (key, tokens of each field): a row with the keys and lengths of each range, and one for each of its tokens.
+def trigram_codes(texts: pa.Array) -> np.ndarray:
+    """All runs of three code points of each text, one integer of 63 bits each; shorter texts have none."""
+    own = texts.to_pylist()
+    chars = np.frombuffer("".join(own).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+    if len(chars) < 3:
+        return np.zeros(0, dtype=np.int64)
+    codes = chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
+    # runs that begin at a text's last two characters reach into the next text
+    keep, ends = np.ones(len(chars), dtype=bool), np.cumsum(size)
+    keep[np.maximum(ends[size > 0] - 1, 0)] = False
+    keep[ends[size > 1] - 2] = False
+    return codes[keep[:-2]]
+
+
+def trigram_texts(codes: np.ndarray) -> pa.Array:
+    """The strings of some codes."""
+    chars = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
+    whole = chars.tobytes().decode("utf-32-le")
+    return pa.array([whole[i : i + 3] for i in range(0, len(whole), 3)], pa.string())
+
+
+def in_order(code: np.ndarray, ord_: np.ndarray) -> np.ndarray:
+    """Places of the rows by code, then document, then as they came."""
+    if len(ord_) and (np.diff(ord_) < 0).any():  # several fields: a batch's fields follow each other
+        base = np.argsort(ord_, kind="stable")
+        return base[in_order(code[base], ord_[base])]
+    n = len(code)
+    if n and int(code.max()) < (1 << 62) // n:  # a plain sort of one integer is the fastest
+        return np.sort(code * n + np.arange(n)) % n
+    return np.argsort(code, kind="stable")
+
+
+def invert(batches: Iterable[pa.RecordBatch], n_fields: int, first: int, grams: bool = False) -> Iterator[pa.RecordBatch]:
+    """From (key, tokens of each field): a row with the keys and lengths of each range, and one for each of its tokens. With ``grams`` from (key, text of each field), whose trigrams are the tokens.
 
     Places of a field go on behind those of the field before it with one place between, so no phrase reaches over both.
     """
@@ -36,11 +70,23 @@ def invert(batches: Iterable[pa.RecordBatch], n_fields: int, first: int) -> Iter
             names=names,
         )
         yield head
-        words = pa.chunked_array(tokens, pa.string()).combine_chunks().dictionary_encode()
-        if not len(words):
+        if not sum(map(len, tokens)):
             return
-        code, ord_, place = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(ords), np.concatenate(places)
-        order = np.argsort(code * len(own) + ord_, kind="stable")  # places of a document and token are in order already
+        if grams:
+            raw = np.concatenate(tokens)
+            seen = np.zeros(1 << 21, dtype=bool)  # characters are numbered, so that codes are small
+            for shift in (42, 21, 0):
+                seen[raw >> shift & 0x1FFFFF] = True
+            number_of, n_chars = np.cumsum(seen) - 1, int(seen.sum())
+            code = (number_of[raw >> 42] * n_chars + number_of[raw >> 21 & 0x1FFFFF]) * n_chars + number_of[raw & 0x1FFFFF]
+            chars = np.flatnonzero(seen)
+            dictionary = lambda c: trigram_texts(chars[c // n_chars // n_chars] << 42 | chars[c // n_chars % n_chars] << 21 | chars[c % n_chars])
+        else:
+            words = pa.chunked_array(tokens, pa.string()).combine_chunks().dictionary_encode()
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            dictionary = lambda c: words.dictionary.take(pa.array(c))
+        ord_, place = np.concatenate(ords), np.concatenate(places)
+        order = in_order(code, ord_)  # places of a document and token are in order already
         code, ord_, place = code[order], ord_[order], place[order]
         start = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(ord_, prepend=-1) != 0))
         tf = np.diff(np.append(start, len(code)))
@@ -49,7 +95,7 @@ def invert(batches: Iterable[pa.RecordBatch], n_fields: int, first: int) -> Iter
         ends, place_ends = np.append(block, len(start)), np.append(start[block], len(code))
         n = len(block)
         yield pa.RecordBatch.from_arrays(
-            [words.dictionary.take(pa.array(code[start[block]])), pa.array(np.full(n, number)), pa.array(np.diff(ends).astype(np.int32)), pa.array(np.maximum.reduceat(tf, block).astype(np.int32)), pa.array(np.minimum.reduceat(dl[doc], block).astype(np.int32)),
+            [dictionary(code[start[block]]), pa.array(np.full(n, number)), pa.array(np.diff(ends).astype(np.int32)), pa.array(np.maximum.reduceat(tf, block).astype(np.int32)), pa.array(np.minimum.reduceat(dl[doc], block).astype(np.int32)),
              packed(doc.astype("<u2"), ends), packed(tf.astype("<u4"), ends), packed(place.astype("<u4"), place_ends), pa.nulls(n, kind), pa.nulls(n, pa.list_(pa.int32()))],
             names=names,
         )
@@ -59,7 +105,8 @@ def invert(batches: Iterable[pa.RecordBatch], n_fields: int, first: int) -> Iter
     for whole in batches:
         kind = pa.list_(whole.column(0).type)
         at = 0
-        sizes = sum(np.asarray(c.value_lengths(), dtype=np.int64) for c in whole.columns[1:])
+        counts = [np.maximum(np.asarray(pc.utf8_length(c), dtype=np.int64) - 2, 0) if grams else np.asarray(c.value_lengths(), dtype=np.int64) for c in whole.columns[1:]]
+        sizes = sum(counts)
         upto = np.cumsum(sizes)
         while at < whole.num_rows:
             # as many rows as the range has room for
@@ -68,10 +115,10 @@ def invert(batches: Iterable[pa.RecordBatch], n_fields: int, first: int) -> Iter
             if end > at:
                 batch = whole.slice(at, end - at)
                 offset = np.zeros(end - at, dtype=np.int64)
-                for c in batch.columns[1:]:
-                    n = np.asarray(c.value_lengths(), dtype=np.int64)
+                for f, c in enumerate(batch.columns[1:]):
+                    n = counts[f][at:end]
                     starts = np.cumsum(n) - n
-                    tokens.append(c.flatten())
+                    tokens.append(trigram_codes(c) if grams else c.flatten())
                     ords.append(np.repeat(np.arange(docs, docs + len(n)), n))
                     places.append(np.arange(n.sum()) - np.repeat(starts - offset, n))
                     offset += n + 1
