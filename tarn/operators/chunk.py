@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import deterministic_id
-from tarn.session import ship_package
+from tarn.session import by_row, ship_package
 from tarn.sources.schema import CHUNK
 
 #: Bytes up to which a section or paragraph is one chunk, and code points of a window and its overlap.
@@ -92,10 +91,7 @@ def chunk_files(files: DataFrame, file_id: str, segments: Column, name: Column)
     """(file_id, chunk_id, chunk columns, content_hash, char_count): a row for each chunk of each file."""
     ship_package(files.sparkSession)
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def run(own: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([chunk_one(s, n) for s, n in zip(own, names)])
-
+    run = by_row(chunk_one, f"array<{CHUNK}>")
     rows = files.select(F.col(file_id).alias("file_id"), F.inline(run(segments, name)))
     return rows.select(
         "file_id",
