@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.session import ship_package
+from tarn.session import ship_package, written
 
 #: Lines that may lie between two hits of one group, and levels of chunks above each other: document, section, paragraph.
 GAP, LEVELS = 3, 2
@@ -14,6 +14,22 @@ GAP, LEVELS = 3, 2
 CHIPS, MOST_LEFT, LEAST_RESULTS = 3, 0.8, 4
 #: Results whose places one long holds as bits.
 WORD = 63
+#: Ranks of a query that one task numbers together.
+RANKS = 1 << 16
+
+
+def numbered(rows: DataFrame, part: Column, order: list[Column | str], name: str) -> DataFrame:
+    """``rows`` with the place of each among its query's, from 1, as column ``name``; they are read twice.
+
+    ``part`` splits a query's rows by ranges of ``order``: a part is sorted by itself and starts behind the rows of the parts before it, so no task sorts all rows of a query.
+    """
+    rows = rows.withColumn("_part", part)
+    before = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("query_id", "_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select(F.col("query_id").alias("_query"), F.col("_part").alias("_own"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order)))
+    met = own.join(starts, F.col("query_id").eqNullSafe(F.col("_query")) & F.col("_part").eqNullSafe(F.col("_own")))
+    return met.withColumn(name, (F.col(name) + F.col("_start")).cast("int")).drop("_part", "_query", "_own", "_start")
 
 
 def folded(hits: DataFrame, levels: int = LEVELS) -> DataFrame:
@@ -25,15 +41,21 @@ def folded(hits: DataFrame, levels: int = LEVELS) -> DataFrame:
     others = [c for c in hits.columns if c not in ("query_id", "chunk_id", "rank")]
     rows = hits.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", *others)).alias("h")).select("query_id", "chunk_id", "h.*").withColumn("folded", F.lit(0).cast("bigint"))
     for _ in range(levels):
+        # a level reads the rows several times
+        rows = written(rows, "rows")
         # a chunk meets its children where its own row and theirs have one key
         own = rows.select("query_id", F.col("chunk_id").alias("key"), F.lit(True).alias("self"), "chunk_id", "parent_chunk_id", "rank", "folded")
         child = rows.where("parent_chunk_id is not null").select("query_id", F.col("parent_chunk_id").alias("key"), F.lit(False).alias("self"), "chunk_id", "parent_chunk_id", "rank", "folded")
-        met = own.unionByName(child).groupBy("query_id", "key").agg(
+        met = written(own.unionByName(child).groupBy("query_id", "key").agg(
             F.min(F.when(F.col("self"), F.struct("rank", "folded", "parent_chunk_id"))).alias("top"), F.min(F.when(~F.col("self"), F.struct("rank", "chunk_id"))).alias("heir")
-        ).where("top is not null and heir is not null")
-        # parents whose own parent is a hit too wait for the next level
-        above = rows.select("query_id", F.col("chunk_id").alias("_above"))
-        met = met.join(above, (met.query_id == above.query_id) & (F.col("top.parent_chunk_id") == F.col("_above")), "left_anti")
+        ).where("top is not null and heir is not null"), "parents")
+        if met.isEmpty():
+            break
+        # parents whose own parent is a hit too wait for the next level, which has no others
+        last = met.where("top.parent_chunk_id is not null").isEmpty()
+        if not last:
+            above = rows.select("query_id", F.col("chunk_id").alias("_above"))
+            met = met.join(above, (met.query_id == above.query_id) & (F.col("top.parent_chunk_id") == F.col("_above")), "left_anti")
         given = met.select("query_id", F.explode(F.array(
             F.struct(F.col("heir.chunk_id").alias("chunk_id"), F.col("top.rank").alias("_rank"), (F.col("top.folded") + 1).alias("_folded"), F.lit(False).alias("_gone")),
             F.struct(F.col("key").alias("chunk_id"), F.lit(None).cast("int").alias("_rank"), F.lit(0).cast("bigint").alias("_folded"), F.lit(True).alias("_gone")),
@@ -41,6 +63,8 @@ def folded(hits: DataFrame, levels: int = LEVELS) -> DataFrame:
         given = given.groupBy("query_id", "chunk_id").agg(F.min("_rank").alias("_rank"), F.sum("_folded").alias("_folded"), F.bool_or("_gone").alias("_gone"))
         rows = rows.join(given, ["query_id", "chunk_id"], "left").where(~F.coalesce("_gone", F.lit(False)))
         rows = rows.withColumn("rank", F.least("rank", "_rank")).withColumn("folded", F.col("folded") + F.coalesce("_folded", F.lit(0).cast("bigint"))).drop("_rank", "_folded", "_gone")
+        if last:
+            break
     return rows
 
 
@@ -48,7 +72,7 @@ def nearby(hits: DataFrame, gap: int = GAP, levels: int = LEVELS) -> DataFrame:
     """(query_id, group_rank, file_id, line_start, line_end, chunk_id, rank, additional_hits): groups of hits of one file with at most ``gap`` lines between them.
 
     ``hits`` has query_id, chunk_id, parent_chunk_id, file_id, line_start, line_end and rank. Parents are folded into children first; a group has the best rank of its hits, and the
-    chunk of that rank (the smallest chunk_id of several) speaks for it; the others are its additional hits. Lists are ranked, so a query's hits are few; files part them further.
+    chunk of that rank (the smallest chunk_id of several) speaks for it; the others are its additional hits. A list may be as long as the corpus: files part its hits, and ranks its groups.
     """
     rows = folded(hits, levels)
     order = Window.partitionBy("query_id", "file_id").orderBy("line_start", "line_end", "chunk_id")
@@ -59,8 +83,8 @@ def nearby(hits: DataFrame, gap: int = GAP, levels: int = LEVELS) -> DataFrame:
         F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.min(F.struct("rank", "chunk_id")).alias("best"), (F.count("*") + F.sum("folded") - 1).alias("additional_hits")
     )
     named = groups.select("query_id", "file_id", "line_start", "line_end", F.col("best.chunk_id").alias("chunk_id"), F.col("best.rank").alias("rank"), "additional_hits")
-    place = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
-    return named.withColumn("group_rank", F.row_number().over(place)).select("query_id", "group_rank", "file_id", "line_start", "line_end", "chunk_id", "rank", "additional_hits")
+    out = numbered(written(named, "groups"), F.floor(F.col("rank") / RANKS), ["rank", "chunk_id"], "group_rank")
+    return out.select("query_id", "group_rank", "file_id", "line_start", "line_end", "chunk_id", "rank", "additional_hits")
 
 
 def chips(results: DataFrame, facets: list[str], most: int = CHIPS, most_left: float = MOST_LEFT, least: int = LEAST_RESULTS) -> DataFrame:

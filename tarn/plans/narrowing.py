@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
@@ -12,7 +12,7 @@ from tarn.functions.nfkc import nfkc
 from tarn.operators import budget, grouping, identifiers
 from tarn.plans.queries import DOC_WORDS, WORDS, docs
 from tarn.plans.registry import query, table
-from tarn.session import work_folder
+from tarn.session import work_folder, written
 
 #: Lines of documents that have a first word of a benchmark item, as hits of that word; a document with three such lines is a hit as well, and the parent of its lines.
 LINE_HITS = f"""
@@ -25,16 +25,21 @@ hit AS (SELECT query_id, doc_id * 100000 + no AS chunk_id, doc_id * 100000 AS pa
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id % 97, chunk_id) AS rank FROM hit)"""
 
 
+#: Numbers of chunks, those of 4,096 documents, whose hits of one query and remainder are sorted together.
+CHUNKS = 4_096 * 100_000
+
+
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select("item_id", F.get(tx.tokens(F.col("text")), F.lit(0)).alias("word")).where("word is not null").groupBy("word").agg(F.min("item_id").alias("query_id"))
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.size(F.split("text", "\n")).alias("n_lines"))
+    # all hits of a document come from one pass over its lines
     found = lines.select("doc_id", (F.col("at") + 1).alias("no"), "n_lines", F.explode(F.array_distinct(tx.tokens(F.col("line")))).alias("word")).join(words, "word")
     base = F.col("doc_id") * 100_000
-    own = found.select("query_id", (base + F.col("no")).alias("chunk_id"), base.alias("parent_chunk_id"), F.col("doc_id").alias("file_id"), F.col("no").alias("line_start"), F.col("no").alias("line_end"))
-    many = found.groupBy("query_id", "doc_id", "n_lines").agg(F.count("*").alias("n")).where("n >= 3")
-    whole = many.select("query_id", base.alias("chunk_id"), F.lit(None).cast("bigint").alias("parent_chunk_id"), F.col("doc_id").alias("file_id"), F.lit(1).alias("line_start"), F.col("n_lines").alias("line_end"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("chunk_id") % 97, "chunk_id"))
-    return own.unionByName(whole).withColumn("rank", rank)
+    hit = lambda chunk, parent, start, end: F.struct(chunk.alias("chunk_id"), parent.alias("parent_chunk_id"), F.col("doc_id").alias("file_id"), start.alias("line_start"), end.alias("line_end"))
+    own = F.transform("nos", lambda no: hit(base + no, base, no, no))
+    whole = F.array(hit(base, F.lit(None).cast("bigint"), F.lit(1), F.col("n_lines")))
+    of_doc = found.groupBy("query_id", "doc_id", "n_lines").agg(F.collect_list("no").alias("nos"))
+    return of_doc.select("query_id", F.inline(F.when(F.size("nos") >= 3, F.concat(own, whole)).otherwise(own)))
 
 
 @query(f"""WITH {LINE_HITS},
@@ -47,11 +52,10 @@ island AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, file_id ORDER BY li
 grouped AS (SELECT query_id, file_id, min(line_start) AS line_start, max(line_end) AS line_end, arg_min(chunk_id, rank * 1000000000 + chunk_id) AS chunk_id, min(rank) AS rank, count(*) + sum(folded) - 1 AS additional_hits FROM island GROUP BY query_id, file_id, island)
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS INTEGER) AS group_rank, file_id, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(additional_hits AS BIGINT) AS additional_hits FROM grouped""")
 def h4_nearby_groups(spark, sf_dir):
-    # a list that is read several times, as a search leaves it
-    path = f"{work_folder(spark)}/hits-{uuid.uuid4().hex}"
-    hits = line_hits(spark, sf_dir)
-    hits.write.parquet(path)
-    return grouping.nearby(spark.read.schema(hits.schema).parquet(path))
+    # a list that is read several times, as a search leaves it; its order is by remainder, and chunks part the hits of one
+    hits = written(line_hits(spark, sf_dir), "hits")
+    order = F.col("chunk_id") % 97
+    return grouping.nearby(grouping.numbered(hits, F.struct(order, F.floor(F.col("chunk_id") / CHUNKS)), [order, "chunk_id"], "rank"))
 
 
 FACETS = ["lang", "source", "size"]
@@ -74,7 +78,7 @@ def f7_chips(spark, sf_dir):
     hits = line_hits(spark, sf_dir).select("query_id", F.col("file_id").alias("doc_id")).distinct()
     size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 3000, "middle").otherwise("long")
     rows = hits.join(docs(spark, sf_dir).select("doc_id", "lang", "source", size.alias("size")), "doc_id")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    ranked = grouping.numbered(written(rows, "results"), F.floor(F.col("doc_id") / grouping.RANKS), ["doc_id"], "rank")
     return grouping.chips(ranked, FACETS)
 
 

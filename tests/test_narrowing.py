@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.operators import budget, grouping
 
@@ -92,3 +93,21 @@ def test_csv_groups(spark):
     assert [(x.row_start, x.row_end, x.content) for x in found if x.id == 92] == [(1, 1, 'a\n"open\nx')]
     assert [(x.row_start, x.row_end) for x in found if x.id == 93] == [(1, 1), (2, 2)] and not [x for x in found if x.id in (90, 91)]
     assert budget.record_ends(b'a,"b\n""c"\nd').tolist() == [10, 11] and np.array_equal(budget.record_ends(b"a\r\nb\r\n"), [3, 6])
+
+
+def test_no_window_of_a_whole_query(spark):
+    """A query's places are numbered in parts of its order, with the same numbers as by one sort."""
+    rng = random.Random(18)
+    hits = [(q, c, None, c // 5, c % 5 * 50, c % 5 * 50 + 1, r) for q in (1, 2) for r, c in enumerate(rng.sample(range(400), 300), 1)]
+    df = spark.createDataFrame(hits, HITS)
+    got = grouping.numbered(df, F.floor(F.col("rank") / 7), ["rank"], "place")
+    assert [r.place for r in got.orderBy("query_id", "rank").collect()] == [*range(1, 301)] * 2
+    groups = grouping.nearby(df)
+    assert [r.rank for r in groups.orderBy("query_id", "group_rank").collect()] == [r.group_rank for r in groups.orderBy("query_id", "group_rank").collect()] == [*range(1, 301)] * 2
+    todo = [groups._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Window":
+            # but for the counts of the parts
+            assert "_part" in node.partitionSpec().mkString(",") or "_n" in node.output().mkString(",")
