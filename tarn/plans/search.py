@@ -11,6 +11,9 @@ from tarn.functions.text import badges, short_path, snippet, title
 from tarn.operators import fusion, keyword, vector
 from tarn.operators.filters import ActiveFilters, Scope, trust_state
 
+#: Candidates of all queries up to which they are sent to the files, whose texts then are not shuffled.
+MOST_SENT = 100_000
+
 
 class SearchEngine:
     """Search over tables of files and chunks.
@@ -74,7 +77,10 @@ class SearchEngine:
         pool = max(limit, rerank_pool or 0)
         found = self.candidates(queries, mode)
         live = self.chunks.where(F.col("chunk_status") == "active").select("chunk_id", "file_id", "heading_path", "line_start", "line_end")
-        rich = found.join(live, "chunk_id").join(self.files, "file_id")
+        if few := queries.count() * fusion.MODES[mode].fused <= MOST_SENT:
+            found = F.broadcast(found)
+        rich = found.join(live, "chunk_id")
+        rich = (F.broadcast(rich) if few else rich).join(self.files, "file_id")
         rich = rich.withColumn("trust_state", trust_state(F.col("file_status"), F.array().cast("array<string>")))
         rich = filters.apply(rich.where(scope.predicate(F.col("path"))), now)
         if one_per_file:
